@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,31 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one query in the shared folder, and the disk they and past shuffles hold."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, str] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function below; then lets Spark remove the shuffle files that led to the table."""
+        path = f"{shared_dir(self.spark)}/webdistill/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Remove a stored table that nothing will read again."""
+        path = self._paths.pop(id(table))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under our own names, so that other columns can never clash."""
     return df.select(*(df[c].alias(k) for k, c in columns.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmlmain, linedup, pieces, quality, secrets, urls
+from . import decontaminate, htmlmain, linedup, passages, pieces, quality, secrets, urls
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.dedup_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_urls": op5_urls,
+    "op6_passages": op6_passages,
     "op7_linedup": op7_linedup,
     "op8_pieces": op8_pieces,
     "op9_quality": op9_quality,

@@ -133,6 +133,30 @@ def blocks(roll: Rolling, check: Rolling, bounds: np.ndarray, length: int, k: in
     return anchor, body, text[first], first, last
 
 
+def text_blocks(raw: np.ndarray, bounds: np.ndarray, unit: str, length: int, k: int, most: int = 3_000_000):
+    """The blocks of all texts, starts counted in units from each text's start.
+
+    A single text of more than `most` units is read in overlapping parts: a block may then be cut in
+    two, which leaves every window in exactly one block.
+    """
+    if unit == "byte":
+        limits, size = bounds, len(raw)
+    else:
+        start, end, limits = word_spans(raw, bounds)
+        size = len(start)
+    for a in range(0, max(1, size - length + 1), most):
+        b = min(size, a + most + length - 1)
+        if b - a < length:
+            return
+        if unit == "byte":
+            hashes = [Rolling(byte_units(raw[a:b], w), w) for w in (0, 1)]
+        else:
+            x, y = start[a], end[b - 1]
+            hashes = [Rolling(mix(Rolling(byte_units(raw[x:y], w), w).of(start[a:b] - x, end[a:b] - x)), w) for w in (0, 1)]
+        anchor, body, text, first, last = blocks(*hashes, np.clip(limits - a, 0, b - a), length, k)
+        yield anchor, body, text, first + a - limits[text], last + a - limits[text]
+
+
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint ordered union of half-open intervals; touching ones become one."""
     if not len(lo):

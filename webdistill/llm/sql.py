@@ -50,6 +50,20 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT r, i, sha256(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+), words AS (SELECT r, doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (
+  SELECT w.r, string_agg(w.w, ' ' ORDER BY w.p) AS t FROM words w LEFT JOIN gone g ON g.r = w.r AND g.p = w.p WHERE g.p IS NULL GROUP BY w.r
+), n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept k ON k.r = d.r
+"""
+
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (
@@ -63,4 +77,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM j GROUP BY r, doc_id
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op5_urls": OP5, "op7_linedup": OP7}
+ORACLES = {"op1_decontaminate": OP1, "op5_urls": OP5, "op6_passages": OP6, "op7_linedup": OP7}
