@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words in most contracts.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch in the operators that build tables.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,9 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._paths: dict[int, str] = {}
+        # smaller Arrow batches: two workers beside a full heap have little memory
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """As the function below; then lets Spark remove the shuffle files that led to the table."""
@@ -68,7 +73,7 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[c].alias(k) for k, c in columns.items()))
 
 
-def views(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def views(column: pa.Array, most: int = 600_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Zero-copy slices of a string column of about `most` bytes: first row, past row, bytes, bounds.
 
     bounds are byte offsets of each text in the slice's bytes; null is empty.

@@ -34,7 +34,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^0..B^n and their inverses modulo 2^64, grown on demand."""
     have = _powers.get(which)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         base = int(_BASES[which])
         inv = pow(base, -1, 1 << 64)
         out = []
@@ -133,7 +133,7 @@ def blocks(roll: Rolling, check: Rolling, bounds: np.ndarray, length: int, k: in
     return anchor, body, text[first], first, last
 
 
-def text_blocks(raw: np.ndarray, bounds: np.ndarray, unit: str, length: int, k: int, most: int = 3_000_000):
+def text_blocks(raw: np.ndarray, bounds: np.ndarray, unit: str, length: int, k: int, most: int = 1_000_000):
     """The blocks of all texts, starts counted in units from each text's start.
 
     A single text of more than `most` units is read in overlapping parts: a block may then be cut in
