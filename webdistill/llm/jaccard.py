@@ -240,15 +240,15 @@ def jaccard_components(
     alone = alone.select("c", (F.col("own") - F.col("kept")).alias("u"))
     members = space.store(members.drop("own").join(alone, "c"), "weighed")
 
-    # the text of one document of each class that has a shared key
-    wanted = members.select("c").distinct()
-    one = classes.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", "th")).alias("at"))
-    one = one.select("c", F.col("at.id").alias("r_id"), F.col("at.th").alias("r_th"))
-    picked = rows.join(one, rows["th"].eqNullSafe(F.col("r_th")) & rows["id"].eqNullSafe(F.col("r_id"))).select("c", "text")
-    sets = space.store(picked.mapInArrow(_sets(size), "c long, tokens array<long>").dropDuplicates(["c"]), "sets")
-
     def compared(pairs: DataFrame) -> DataFrame:
-        """pairs(x_c, y_c, total) that reach the similarity."""
+        """pairs(x_c, y_c, total), stored, that reach the similarity."""
+        # the text of one document of each class that is compared at all
+        wanted = pairs.select(F.col("x_c").alias("c")).union(pairs.select("y_c")).distinct()
+        one = classes.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("id", "th")).alias("at"))
+        one = one.select("c", F.col("at.id").alias("r_id"), F.col("at.th").alias("r_th"))
+        picked = rows.join(one, rows["th"].eqNullSafe(F.col("r_th")) & rows["id"].eqNullSafe(F.col("r_id")))
+        picked = picked.groupBy("c").agg(F.min("text").alias("text"))
+        sets = space.store(picked.mapInArrow(_sets(size), "c long, tokens array<long>"), "sets")
         x = sets.select(F.col("c").alias("x_c"), F.col("tokens").alias("x_tokens"))
         y = sets.select(F.col("c").alias("y_c"), F.col("tokens").alias("y_tokens"))
         both = pairs.join(x, "x_c").join(y, "y_c")
