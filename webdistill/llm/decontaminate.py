@@ -114,7 +114,7 @@ def _matcher(broadcast) -> Matcher:
     return _shared[key]
 
 
-def _scan(broadcast, last: bool, ratio: int):
+def _scan(broadcast, last: bool, ratio: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(broadcast)
         schema = pa.schema(
@@ -147,7 +147,8 @@ def _scan(broadcast, last: bool, ratio: int):
                     spans = [{"start": at[x][0], "end": at[y - 1][1]} for x, y in zip(a, b, strict=True)]
                 order = sorted(names)
                 rows.append((doc, len(words), hit, order, hashlib.sha256(",".join(order).encode()).hexdigest(), hit > 0 and ratio * hit >= len(words), spans))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], type=f.type) for f in schema], schema=schema)
+            made = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], type=f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(made + [batch.column(c) for c in carry], names=[*schema.names, *carry])
 
     return run
 
@@ -170,18 +171,20 @@ def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20,
-    block_chars: int = 8_000_000,
+    block_chars: int = 8_000_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row a document: id, n_words, n_hit, items, items_sha256, contaminated, spans.
+    """One row a document: id, n_words, n_hit, items, items_sha256, contaminated, spans, carried columns c0, c1, ...
 
     contaminated: some word is hit and ``ratio`` times the hit words reach the document's words.
     spans: code-point offsets in the original text of maximal hit runs.
     """
     spark = docs.sparkSession
-    state = narrow(docs, id=id_column, text=text_column)
+    own = {f"c{k}": c for k, c in enumerate(carry)}
+    state = narrow(docs, id=id_column, text=text_column, **own)
+    more = [f for f in state.schema if f.name in own]
     held = None
     for block in blocks_of(narrow(benchmark, id=item_column, text=item_text), block_chars):
         if held is not None:
-            state = store(state.mapInArrow(_scan(held, False, ratio), STATE), "decontaminate")
+            state = store(state.mapInArrow(_scan(held, False, ratio, list(own)), T.StructType([*STATE, *more])), "decontaminate")
         held = spark.sparkContext.broadcast(Matcher(block, window))
-    return state.mapInArrow(_scan(held, True, ratio), RESULT)
+    return state.mapInArrow(_scan(held, True, ratio, list(own)), T.StructType([*RESULT, *more]))

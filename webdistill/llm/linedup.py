@@ -176,10 +176,11 @@ class Shards:
         return found, keep
 
 
-def _probe(held, least: int, last: bool):
+def _probe(held, least: int, last: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: Shards = held.value
         for batch in batches:
+            rest = [batch.column(c) for c in carry]
             ids, texts = batch.column("id").to_pylist(), as_bytes(batch.column("text"))
             before = batch.column("gone").to_pylist()
             gone: list[set[int]] = [set(x or ()) for x in before]
@@ -197,7 +198,7 @@ def _probe(held, least: int, last: bool):
                 if keep[j] != (_NO_ID if ids[row[j]] is None else ids[row[j]]):
                     gone[row[j]].add(at[j])
             if not last:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([sorted(g) for g in gone], pa.list_(pa.int32()))], names=["id", "text", "gone"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *rest, batch.column("text"), pa.array([sorted(g) for g in gone], pa.list_(pa.int32()))], names=["id", *carry, "text", "gone"])
                 continue
             total, out = [], []
             for text, g in zip(texts, gone, strict=True):
@@ -205,8 +206,8 @@ def _probe(held, least: int, last: bool):
                 total.append(len(lines))
                 out.append((b"\n".join(x for i, x in enumerate(lines) if i not in g) if g else text or b"").decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(total, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(out, pa.string())],
-                names=["id", "n_lines", "n_dropped", "kept"],
+                [batch.column("id"), *rest, pa.array(total, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(out, pa.string())],
+                names=["id", *carry, "n_lines", "n_dropped", "kept"],
             )
 
     return run
@@ -220,12 +221,14 @@ def frequent_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFr
 
 def dedup_lines(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 40,
-    least_docs: int = 5, shard_lines: int = 1 << 18, group_bytes: int = 64 << 20,
+    least_docs: int = 5, shard_lines: int = 1 << 18, group_bytes: int = 64 << 20, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row a document: id, n_lines, n_dropped, kept (the text without the dropped lines)."""
+    """One row a document: id, carried columns c0, c1, ..., n_lines, n_dropped, kept (the text without the dropped lines)."""
     spark = docs.sparkSession
-    state = narrow(docs, id=id_column, text=text_column)
-    lines = store(frequent_lines(state, least_chars, least_docs), "lines")
+    own = {f"c{k}": c for k, c in enumerate(carry)}
+    state = narrow(docs, id=id_column, **own, text=text_column)
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+    lines = store(frequent_lines(state.select("id", "text"), least_chars, least_docs), "lines")
     n_shards = max(1, -(-lines.count() // shard_lines))
     unsigned = F.pmod(F.conv(F.hex("h"), 16, 10).cast("decimal(20,0)"), F.lit(n_shards)).cast("long")
     shards = lines.withColumn("shard", unsigned).groupBy("shard").applyInArrow(_shard, _SHARD)
@@ -236,9 +239,9 @@ def dedup_lines(
     for r in shards.toLocalIterator():
         if size >= group_bytes:
             held = spark.sparkContext.broadcast(Shards(n_shards, group))
-            state = store(state.mapInArrow(_probe(held, least_chars, False), state.schema), "marked")
+            state = store(state.mapInArrow(_probe(held, least_chars, False, list(own)), state.schema), "marked")
             group, size = [], 0
         group.append(r.asDict())
         size += len(r["finger"]) * 4
     held = spark.sparkContext.broadcast(Shards(n_shards, group))
-    return state.mapInArrow(_probe(held, least_chars, True), "id long, n_lines long, n_dropped long, kept string")
+    return state.mapInArrow(_probe(held, least_chars, True, list(own)), ", ".join(["id long", *(f"{c} {kinds[c]}" for c in own), "n_lines long, n_dropped long, kept string"]))
