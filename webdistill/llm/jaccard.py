@@ -4,16 +4,16 @@ A document is its set of 3-word shingles.  All shingles have one order, rare bef
 classes.  A document's prefix grows along the order until it *covers* more tokens than a partner may
 lack: a rare token covers one; frequent tokens are dealt to subclasses, and m tokens of a subclass cover
 m - 1, because losing m - 1 of them breaks its last pair.  Rare tokens of the prefix are indexed alone,
-frequent ones as pairs within their subclass.  Two sets that reach the similarity share an index key;
-no threshold, cap or sample decides what is compared.
+frequent ones as pairs within their subclass.  Two sets that reach the similarity share an index key,
+one of the smaller set's shorter prefix; no threshold, cap or sample decides what is compared.
 
 The order comes from a count sketch over all documents (fixed size, summed block-wise), so that it is
 the same everywhere and bounded; it decides how much is compared, never what is found.
 
-Equal sets are one class from the start.  Keys that only one class has are dropped, and the number of
-rare tokens that only this class has bounds its overlap with any other.  Candidates are compared in two
-rounds: first each class with one member of each of its keys (the one with fewest tokens of its own),
-which joins most groups of copies with one comparison a member; then, in keys whose members still belong
+Equal sets are one class from the start.  Keys that only one class has, or none in its short prefix, are
+dropped.  Tokens before the first shared key are not shared, which bounds the overlap.  Candidates are
+compared in two rounds: first each class with one member of each of its keys (that with the fewest
+tokens before it), which joins most groups of copies with one comparison a member; then, in keys whose members still belong
 to different components, all members of different components.  Every candidate pair is either compared
 exactly or already connected.  Components are found by alternating star steps on tables.
 
@@ -120,30 +120,51 @@ def regimes_of(n: int, num: int, den: int) -> list[int]:
     return [g for k, (least, g) in enumerate(REGIMES) if high >= least and (k + 1 == len(REGIMES) or low < REGIMES[k + 1][0])]
 
 
-def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one set: rare tokens alone, and pairs of frequent ones.  Similarity is num/den."""
-    n = len(tokens)
-    lack = n - -(-n * num // den)
-    order = np.lexsort((tokens, count))
-    tokens, count = tokens[order], count[order]
-    rare = int(np.searchsorted(count, frequent, side="right"))
+def _prefix(tokens: np.ndarray, rare: int, lack: int, regimes: list[int]) -> tuple[int, dict[int, int]]:
+    """How many rare tokens, and for each number of subclasses how many frequent ones, cover lack + 1."""
     if rare > lack:
-        return tokens[: lack + 1], tokens[:0]
-    pairs = []
-    need = lack + 1 - rare
+        return lack + 1, {}
     rest = tokens[rare:]
-    for g in regimes_of(n, num, den):
+    out = {}
+    for g in regimes:
         sub = ((rest >> np.uint64(40)) % np.uint64(g)).astype(np.int64)
         # a token covers one unless it is the first of its subclass
         first = np.zeros(len(sub), dtype=np.int64)
         first[np.unique(sub, return_index=True)[1]] = 1
-        length = int(np.searchsorted(np.cumsum(1 - first), need)) + 1
-        head, part = rest[:length], sub[:length]
-        for s in np.unique(part):
-            own = head[part == s]
+        out[g] = int(np.searchsorted(np.cumsum(1 - first), lack + 1 - rare)) + 1
+    return rare, out
+
+
+def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of one set: whether each is a rare token alone (else a pair of frequent ones), whether it
+    is in the short prefix, and how many tokens before it no partner can have that is first met here.
+    Similarity is num/den.
+
+    A set may lack more of a smaller partner's size than of a larger one's: the smaller set of a pair is
+    found by its short prefix, the larger by its long one.
+    """
+    n = len(tokens)
+    order = np.lexsort((tokens, count))
+    tokens, count = tokens[order], count[order]
+    rare = int(np.searchsorted(count, frequent, side="right"))
+    regimes = regimes_of(n, num, den)
+    long = _prefix(tokens, rare, n - -(-n * num // den), regimes)
+    short = _prefix(tokens, rare, n - -(-2 * num * n // (num + den)), regimes)
+    keys, brief, ahead = [tokens[: long[0]]], [np.arange(long[0]) < short[0]], [np.arange(long[0])]
+    for g, length in long[1].items():
+        head = tokens[rare : rare + length]
+        sub = ((head >> np.uint64(40)) % np.uint64(g)).astype(np.int64)
+        limit = short[1].get(g, 0)
+        for s in np.unique(sub):
+            own = np.flatnonzero(sub == s)
             i, j = np.triu_indices(len(own), 1)
-            pairs.append(mix(mix(own[i] + np.uint64(g)) + own[j]))
-    return tokens[:rare], np.unique(np.concatenate([*pairs, tokens[:0]]))
+            keys.append(mix(mix(head[own[i]] + np.uint64(g)) + head[own[j]]))
+            brief.append(own[j] < limit)
+            # one token of each subclass may be shared before the first shared pair
+            ahead.append(np.maximum(rare + own[i] - g, 0))
+    alone = np.zeros(sum(map(len, keys)), dtype=bool)
+    alone[: long[0]] = True
+    return np.concatenate(keys), alone, np.concatenate(brief), np.concatenate(ahead)
 
 
 def _index(held, size: int, frequent: int, num: int, den: int):
@@ -152,19 +173,19 @@ def _index(held, size: int, frequent: int, num: int, den: int):
         least = -(-den // (den - num)) - 1  # smaller sets only link with their equals
         for batch in batches:
             for _, _, raw, bounds in views(batch.column("text")):
-                keys, single, c, n, own = [], [], [], [], []
+                keys, c, n = [], [], []
                 for t in token_sets(raw, bounds, size):
                     if len(t) < least:
                         continue
-                    alone, pairs = signatures(t, sketch[(t & np.uint64(CELLS - 1)).astype(np.int64)], frequent, num, den)
-                    keys += [alone, pairs]
-                    single += [np.ones(len(alone), dtype=bool), np.zeros(len(pairs), dtype=bool)]
-                    m = len(alone) + len(pairs)
+                    k = signatures(t, sketch[(t & np.uint64(CELLS - 1)).astype(np.int64)], frequent, num, den)
+                    keys.append(k)
+                    m = len(k[0])
                     c.append(np.full(m, set_key(t)))
                     n.append(np.full(m, len(t), dtype=np.int32))
-                    own.append(np.full(m, len(alone), dtype=np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], single, c, n, own)], names=["sig", "single", "c", "n", "own"])
+                    sig, single, brief, ahead = (np.concatenate(x) for x in zip(*keys, strict=True))
+                    columns = (sig.view(np.int64), single, brief, *map(np.concatenate, (c, n)), ahead.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "single", "brief", "c", "n", "ahead"])
 
     return run
 
@@ -205,8 +226,11 @@ def components(space: Workspace, edges: DataFrame, most_rounds: int = 60) -> Dat
 
 
 def _may_link(num: int, den: int):
-    """Whether the tokens that x and y don't hold alone suffice for the similarity."""
-    most = F.least(F.col("x_n") - F.col("x_u"), F.col("y_n") - F.col("y_u"))
+    """Whether x and y, if this is the first key they share, have enough tokens left for the similarity.
+
+    A pair that reaches it passes in the first key that it shares, which is all that is needed.
+    """
+    most = F.least(F.col("x_n") - F.col("x_ahead"), F.col("y_n") - F.col("y_ahead"))
     return (num + den) * most >= num * (F.col("x_n") + F.col("y_n"))
 
 
@@ -231,14 +255,11 @@ def jaccard_components(
     if frequent is None:
         frequent = max(64, int(8 * sketch.mean()))
     held = spark.sparkContext.broadcast(sketch)
-    listed = lambda: rows.mapInArrow(_index(held, size, frequent, num, den), "sig long, single boolean, c long, n int, own int")
+    listed = lambda: rows.mapInArrow(_index(held, size, frequent, num, den), "sig long, single boolean, brief boolean, c long, n int, ahead int")
 
-    shared = listed().groupBy("sig", "single").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    shared = listed().groupBy("sig", "single").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("brief").alias("brief")).filter("low <> high and brief")
     shared = space.store(shared.select("sig", "single"), "shared")
     members = space.store(listed().join(shared.hint("merge"), ["sig", "single"], "left_semi").distinct(), "members")
-    alone = members.groupBy("c").agg(F.max("own").alias("own"), F.sum(F.col("single").cast("int")).alias("kept"))
-    alone = alone.select("c", (F.col("own") - F.col("kept")).alias("u"))
-    members = space.store(members.drop("own").join(alone, "c"), "weighed")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """pairs(x_c, y_c, total), stored, that reach the similarity."""
@@ -255,9 +276,9 @@ def jaccard_components(
         return both.filter((num + den) * F.size(F.array_intersect("x_tokens", "y_tokens")) >= num * F.col("total")).select("x_c", "y_c")
 
     total = (F.col("x_n") + F.col("y_n")).alias("total")
-    hub = members.groupBy("sig", "single").agg(F.min(F.struct("u", "c", "n")).alias("hub"))
+    hub = members.groupBy("sig", "single").agg(F.min(F.struct("ahead", "c", "n")).alias("hub"))
     stars = _as("x", members, "sig", "single").join(hub, ["sig", "single"])
-    stars = stars.select("*", F.col("hub.u").alias("y_u"), F.col("hub.c").alias("y_c"), F.col("hub.n").alias("y_n"))
+    stars = stars.select("*", F.col("hub.ahead").alias("y_ahead"), F.col("hub.c").alias("y_c"), F.col("hub.n").alias("y_n"))
     stars = space.store(stars.filter((F.col("x_c") != F.col("y_c")) & _may_link(num, den)).select("x_c", "y_c", total).distinct(), "stars")
     links = space.store(compared(stars), "links")
     roots = components(space, links.select(F.col("x_c").alias("a"), F.col("y_c").alias("b")))
@@ -267,8 +288,8 @@ def jaccard_components(
     placed = space.store(placed.join(split.hint("merge"), ["sig", "single"], "left_semi"), "placed")
     apart = _as("x", placed, "sig", "single").join(
         _as("y", placed, "sig", "single").hint("merge"), ["sig", "single"]
-    ).filter((F.col("x_root") != F.col("y_root")) & (F.col("x_c") < F.col("y_c")) & _may_link(num, den))
-    apart = apart.select("x_c", "y_c", total).distinct()
+    ).filter((F.col("x_root") != F.col("y_root")) & F.col("y_brief") & (F.struct("x_n", "x_c") > F.struct("y_n", "y_c")) & _may_link(num, den))
+    apart = apart.select(F.least("x_c", "y_c").alias("x_c"), F.greatest("x_c", "y_c").alias("y_c"), total).distinct()
     done = stars.select(F.least("x_c", "y_c").alias("d_x"), F.greatest("x_c", "y_c").alias("d_y"))
     apart = apart.join(done, (F.col("x_c") == F.col("d_x")) & (F.col("y_c") == F.col("d_y")), "left_anti")
     more = compared(space.store(apart, "apart"))
