@@ -5,7 +5,8 @@ routed by content: a window's anchor (see ``repeats``) recurs wherever the windo
 windows whose anchor never recurs hold nothing, and equal blocks are one block with a count.  The
 distinct blocks of one anchor form one string; its suffix array (``suffixes``, by linear grouping) puts
 equal windows side by side, and a class of equal windows is repeated if its blocks count for two or more
-places.  The decisions are then carried back to all places of each block.
+places.  (A string whose blocks all count for two needs no sorting.)  The decisions are then carried
+back to all places of each block.
 
 An anchor with very many distinct blocks is dealt over strings of about ``string_blocks`` blocks each.
 Classes of its windows then carry a fingerprint, and classes of different strings are summed by it, with
@@ -121,9 +122,31 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _decide(length: int, most: int = 3_000_000):
+def _settled(string: list[tuple[int, int, int, int, bytes]]) -> bool:
+    """A string that needs no sorting: it is all of its anchor, and each of its windows stands at two places already."""
+    return string[0][3] == 1 and all(b[2] > 1 for b in string)
+
+
+def _whole(strings: list[list[tuple[int, int, int, int, bytes]]]) -> pa.RecordBatch:
+    """Rows of _DECIDED for settled strings: their blocks are repeated from end to end."""
+    flat = [b for s in strings for b in s]
+    none = pa.nulls(len(flat), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([b[0] for b in flat], pa.int64()), pa.array([b[1] for b in flat], pa.int64()), pa.array([0] * len(flat), pa.int32()), pa.array([len(b[4]) for b in flat], pa.int32()), none, none, pa.array([0] * len(flat), pa.int64())],
+        names=["fp", "chk", "lo", "hi", "w1", "w2", "n"],
+    )
+
+
+def _decide(length: int, most: int = 1_500_000):
     """Streams over rows sorted by string; solves whenever about `most` bytes of whole strings are gathered."""
 
+    def both(ready: list[list]) -> Iterator[pa.RecordBatch]:
+        settled = [s for s in ready if _settled(s)]
+        if settled:
+            yield _whole(settled)
+        if len(settled) < len(ready):
+            yield _solve([s for s in ready if not _settled(s)], length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[list] = []
         size, last = 0, None
@@ -132,14 +155,14 @@ def _decide(length: int, most: int = 3_000_000):
             for fp, chk, n, strings, body, part in zip(*columns, strict=True):
                 if (fp, part) != last:
                     if size >= most:
-                        yield _solve(ready, length)
+                        yield from both(ready)
                         ready, size = [], 0
                     ready.append([])
                     last = (fp, part)
                 ready[-1].append((fp, chk, n, strings, body))
                 size += len(body)
         if ready:
-            yield _solve(ready, length)
+            yield from both(ready)
 
     return run
 

@@ -198,7 +198,7 @@ def sort_suffixes(strings: list[np.ndarray], width: int = 24) -> tuple[np.ndarra
     a = 0
     while a < len(order):
         # strings of up to twice the length share a batch
-        b = min(int(np.searchsorted(lengths, 2 * lengths[a], side="right")), int(np.searchsorted(base, base[a] + 4_000_000, side="right")))
+        b = min(int(np.searchsorted(lengths, 2 * lengths[a], side="right")), int(np.searchsorted(base, base[a] + 1_000_000, side="right")))
         b = max(b, a + 1)
         if b - a >= width:
             parts.append(suffix_arrays(text[base[a] : base[b]], lengths[a:b]) + base[a])
