@@ -155,13 +155,16 @@ def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, num: int, d
         head = tokens[rare : rare + length]
         sub = ((head >> np.uint64(40)) % np.uint64(g)).astype(np.int64)
         limit = short[1].get(g, 0)
+        fresh = np.zeros(length + 1, dtype=np.int64)
+        fresh[np.unique(sub, return_index=True)[1] + 1] = 1
+        others = np.cumsum(fresh)  # subclasses among the tokens before each
         for s in np.unique(sub):
             own = np.flatnonzero(sub == s)
             i, j = np.triu_indices(len(own), 1)
             keys.append(mix(mix(head[own[i]] + np.uint64(g)) + head[own[j]]))
             brief.append(own[j] < limit)
-            # one token of each subclass may be shared before the first shared pair
-            ahead.append(np.maximum(rare + own[i] - g, 0))
+            # before the first shared pair, each other subclass may have one shared token, this one none
+            ahead.append(rare + own[i] - others[own[i]] + (i > 0))
     alone = np.zeros(sum(map(len, keys)), dtype=bool)
     alone[: long[0]] = True
     return np.concatenate(keys), alone, np.concatenate(brief), np.concatenate(ahead)
