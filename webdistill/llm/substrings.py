@@ -187,12 +187,14 @@ def dedup_substrings(
     """One row a document: id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes)."""
     space = Workspace(docs.sparkSession)
     rows = keyed(narrow(docs, id=id_column, text=text_column))
-    listed = lambda: rows.mapInArrow(list_blocks("byte", length, gram), BLOCK_ROWS)
+    listed = space.store(rows.mapInArrow(list_blocks("byte", length, gram), BLOCK_ROWS), "listed")
     index = FingerprintIndex(space, "blocks")
-    index.append(listed().select("fp", "chk", F.lit(1).alias("n")))
+    index.append(listed.select("fp", "chk", F.lit(1).alias("n")))
     anchors = space.store(index.all().groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "anchors")
     kinds = index.compact(anchors)
-    found = space.store(listed().join(kinds.hint("merge"), ["fp", "chk"]), "found")
+    space.drop(anchors)
+    found = space.store(listed.join(kinds.hint("merge"), ["fp", "chk"]), "found")
+    space.drop(listed)
 
     # one place of each distinct block, and over how many strings its anchor is dealt
     one = found.groupBy("fp", "chk").agg(F.max("n").alias("n"), F.min(F.struct("id", "th", "first", "last")).alias("at"))
