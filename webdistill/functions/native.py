@@ -99,12 +99,21 @@ def url_path(url: Name) -> Column:
 
 
 def robots_regex(pattern: Name) -> Column:
-    """A path pattern as a Java regular expression: '*' anything, a final '$' the end, else a prefix."""
+    """A path pattern as a Java regular expression: '*' anything, a final '$' the end, else a prefix.
+
+    Pieces between stars are atomic groups at their first place, so that matching never backtracks.
+    """
     p = _c(pattern)
-    open_end = ~p.endswith("$")
-    body = F.when(open_end, p).otherwise(F.substring(p, F.lit(1), F.char_length(p) - 1))
-    quoted = F.regexp_replace(F.regexp_replace(body, r"([\\.+?^${}()|\[\]])", r"\\$1"), r"\*+", r"[^\\n\\r\\x{2028}\\x{2029}]*")
-    return F.concat(F.lit("^"), quoted, F.when(open_end, F.lit("")).otherwise(F.lit(r"\z")))
+    end = p.endswith("$")
+    body = F.when(end, F.substring(p, F.lit(1), F.char_length(p) - 1)).otherwise(p)
+    parts = F.split(F.regexp_replace(body, r"([\\.+?^${}()|\[\]])", r"\\$1"), r"\*", -1)
+    rest = F.slice(parts, F.lit(2), F.size(parts))
+    some = F.size(rest) > 0
+    inner = F.when(end & some, F.slice(rest, F.lit(1), F.size(rest) - 1)).otherwise(rest)
+    anything = r"[^\n\r\x{2028}\x{2029}]*"
+    groups = F.array_join(F.transform(F.filter(inner, lambda x: x != ""), lambda x: F.concat(F.lit(f"(?>{anything}?"), x, F.lit(")"))), "")
+    last = F.when(end & some, F.concat(F.lit(anything), F.element_at(rest, -1))).otherwise(F.lit(""))
+    return F.concat(F.lit("^"), F.get(parts, F.lit(0)), groups, F.coalesce(last, F.lit("")), F.when(end, F.lit(r"\z")).otherwise(F.lit("")))
 
 
 def robots_specificity(pattern: Name) -> Column:

@@ -49,16 +49,22 @@ def group_for(groups: list[Group], agent: str) -> Group | None:
 
 
 def path_regex(pattern: str) -> str:
-    """'*' stands for anything, a final '$' for the end; otherwise a prefix."""
+    """'*' stands for anything, a final '$' for the end; otherwise a prefix.
+
+    Each piece between stars is taken at its first place and kept (an atomic group), which loses no match
+    and never backtracks; only a piece before the end is tried at the last place.
+    """
     end = pattern.endswith("$")
-    parts = (pattern[:-1] if end else pattern).split("*")
-    return "^" + _ANY.join(map(re.escape, parts)) + (r"\Z" if end else "")
+    first, *rest = (pattern[:-1] if end else pattern).split("*")
+    out = "^" + re.escape(first)
+    last = [rest.pop()] if end and rest else []
+    out += "".join(f"(?>{_ANY}?{re.escape(x)})" for x in rest if x)
+    return out + "".join(_ANY + re.escape(x) for x in last) + (r"\Z" if end else "")
 
 
 @lru_cache(maxsize=4096)
 def _compiled(pattern: str) -> re.Pattern:
-    # a run of stars means one star
-    return re.compile(path_regex(re.sub(r"\*+", "*", pattern)))
+    return re.compile(path_regex(pattern))
 
 
 def specificity(pattern: str) -> int:
