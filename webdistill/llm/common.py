@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,16 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words in most contracts.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch in the operators that build tables.
+#: Rows of an Arrow batch at most.
 BATCH_ROWS = 2000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Workers beside a full heap have little memory; long texts make default batches large."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,24 +45,43 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back.  Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webdistill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hand_back() -> None:
+    """Freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """An Arrow function that hands freed memory back when its task ends; workers outlive their tasks."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return wrapped
+
+
 class Workspace:
     """Tables of one query in the shared folder, and the disk they and past shuffles hold."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._paths: dict[int, str] = {}
-        # smaller Arrow batches: two workers beside a full heap have little memory
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        small_batches(spark)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """As the function below; then lets Spark remove the shuffle files that led to the table."""
         path = f"{shared_dir(self.spark)}/webdistill/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         del df
@@ -70,6 +98,7 @@ class Workspace:
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under our own names, so that other columns can never clash."""
+    small_batches(df.sparkSession)
     return df.select(*(df[c].alias(k) for k, c in columns.items()))
 
 

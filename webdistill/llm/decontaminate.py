@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, narrow, store
+from .common import as_bytes, narrow, store, tidy
 from .repeats import merge
 
 #: ASCII letters and digits in lower case; every byte of a non-ASCII character belongs to a word.
@@ -115,6 +115,7 @@ def _matcher(broadcast) -> Matcher:
 
 
 def _scan(broadcast, last: bool, ratio: int, carry: list[str]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(broadcast)
         schema = pa.schema(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, tidy
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -338,6 +338,7 @@ def extract(page: str | None, weights: tuple[float, ...] = DEFAULT_WEIGHTS) -> s
     return "\n".join(b.text for b, keep in zip(blocks, main, strict=True) if keep)
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         features, label = [], []
@@ -362,6 +363,7 @@ def fit_classifier(pages: DataFrame, sample: int = 500) -> tuple[float, ...]:
 
 
 def _run(weights: tuple[float, ...]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pa.array([extract(p, weights) for p in batch.column("html").to_pylist()], pa.string())

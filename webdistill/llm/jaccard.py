@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, narrow, views
+from .common import Workspace, narrow, tidy, views
 from .passages import keyed
 from .repeats import Rolling, byte_units, mix, word_spans
 
@@ -69,6 +69,7 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _classes(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, c = [], []
@@ -82,6 +83,7 @@ def _classes(size: int):
 
 
 def _sketch(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
@@ -93,6 +95,7 @@ def _sketch(size: int):
     return run
 
 
+@tidy
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams over the blocks of one partition; memory for one array a block."""
     total: dict[int, np.ndarray] = {}
@@ -171,6 +174,7 @@ def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, num: int, d
 
 
 def _index(held, size: int, frequent: int, num: int, den: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = held.value
         least = -(-den // (den - num)) - 1  # smaller sets only link with their equals
@@ -194,6 +198,7 @@ def _index(held, size: int, frequent: int, num: int, den: int):
 
 
 def _sets(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, as_bytes, narrow, store
+from .common import BLANKS, as_bytes, narrow, store, tidy
 from .repeats import mix
 
 _NO_ID = -(1 << 63)
@@ -57,6 +57,7 @@ def _signed(x: int) -> int:
 
 
 def _list_keys(least: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high, low, docs = [], [], []
@@ -177,6 +178,7 @@ class Shards:
 
 
 def _probe(held, least: int, last: bool, carry: list[str]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: Shards = held.value
         for batch in batches:

@@ -5,8 +5,8 @@ all pieces that end there, longest first; each relaxes the best score at that po
 give the best segmentation.  Characters that no piece covers become byte pieces.
 
 The scores are those of the model file, so the result is the segmentation of highest total score: what
-the public library computes for the same pieces as a unigram model, with exact sums.  Ties go to the
-longer last piece.
+the public library's lattice finds for the same pieces as a unigram model, with exact sums.  Ties go to
+the longer last piece.
 
 Where no piece holds a space mark after another character (true of the given vocabulary, and tested when
 it is loaded), the text falls into independent chunks at space marks; each worker keeps the segmentation
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, narrow
+from .common import as_bytes, narrow, tidy
 
 SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -62,7 +62,7 @@ class Vocabulary:
 class Codec:
     """Encoder and decoder for one vocabulary; the automaton is built in the process that uses it."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 80_000):
         import ahocorasick
 
         self.vocabulary = vocabulary
@@ -176,6 +176,7 @@ def codec(broadcast) -> Codec:
 
 
 def _encode(held, with_ids: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held)
         for batch in batches:
@@ -205,6 +206,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, *, id_column: str = "id", id
     """id, text of arrays of ids; null decodes to empty text."""
     held = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held)
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, narrow, store, views
+from .common import BLANKS, narrow, store, tidy, views
 from .repeats import SPACE, Rolling, byte_units, mix, word_spans
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -81,6 +81,7 @@ def _text_stats(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest = [c for c in batch.schema.names if c != "text"] + (["text"] if "keep_text" in batch.schema.names else [])

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, narrow
+from .common import as_bytes, narrow, tidy
 
 KINDS = ("assign", "access", "hex", "literal")
 #: Fixed patterns of the contract; the letters of assign's names are ASCII in either case.
@@ -134,6 +134,7 @@ def scan_text(raw: bytes | None) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+@tidy
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:

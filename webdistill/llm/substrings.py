@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, narrow
+from .common import Workspace, as_bytes, narrow, tidy
 from .passages import BLOCK_ROWS, FingerprintIndex, by_document, keyed, list_blocks
 from .repeats import Rolling, byte_units, merge, mix
 from .suffixes import sort_suffixes
@@ -37,6 +37,7 @@ _DECIDED = "fp long, chk long, lo int, hi int, w1 long, w2 long, n long"
 def _cut_blocks(length: int):
     """The bytes of each wanted block of a document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in ("fp", "chk", "n", "strings")}
@@ -147,6 +148,7 @@ def _decide(length: int, most: int = 1_500_000):
         if len(settled) < len(ready):
             yield _solve([s for s in ready if not _settled(s)], length)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[list] = []
         size, last = 0, None
@@ -167,6 +169,7 @@ def _decide(length: int, most: int = 1_500_000):
     return run
 
 
+@tidy
 def _keep_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, gone, runs, kept = [], [], [], []

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import narrow
+from .common import narrow, tidy
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,7 @@ class ShiftAnd:
 
 
 def _judge(rules: tuple[Rule, ...], default: str, step: int = 2048):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ShiftAnd([r.glob for r in rules])
         weight = np.array([r.weight + (1 << 20) * r.listed for r in rules])
