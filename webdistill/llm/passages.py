@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, narrow, same, text_key, views
+from .common import Workspace, as_bytes, narrow, text_key, tidy, views
 from .repeats import Rolling, byte_units, merge, mix, text_blocks, word_spans
 
 BLOCK_ROWS = "fp long, chk long, id long, th long, first int, last int"
@@ -42,6 +42,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def list_blocks(unit: str, length: int, gram: int):
     """The blocks of every text as rows of BLOCK_ROWS; first and last are the block's window starts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, bounds in views(batch.column("text")):
@@ -110,8 +111,10 @@ def repeated_blocks(space: Workspace, docs: DataFrame, unit: str, length: int, g
     mixed = space.store(kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("fp"), "mixed")
     spans = found.filter("n > 1").select("id", "th", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     where = F.struct("id", "th", "first", "last")
-    some = found.join(mixed.hint("merge"), "fp", "left_semi").groupBy("fp", "chk").agg(F.max("n").alias("n"), F.min(where).alias("at"))
-    return spans, space.store(some.select("fp", "chk", "n", "at.*"), "open")
+    # one row a block before the join, so that copies of a common block never meet; an inner join, since
+    # Catalyst would move a semi-join below the aggregation
+    some = found.groupBy("fp", "chk").agg(F.max("n").alias("n"), F.min(where).alias("at"))
+    return spans, space.store(some.join(mixed.hint("merge"), "fp").select("fp", "chk", "n", "at.*"), "open")
 
 
 def by_document(rows: DataFrame, docs: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
@@ -123,6 +126,7 @@ def by_document(rows: DataFrame, docs: DataFrame, *columns: str, how: str = "inn
 def _open_windows(length: int):
     """Every window of a document's open blocks."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, bounds in views(batch.column("text")):
@@ -153,6 +157,7 @@ def _open_windows(length: int):
     return run
 
 
+@tidy
 def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, gone, kept = [], [], []
