@@ -90,6 +90,21 @@ def test_index(spark):
     assert len(index.runs) == 1
 
 
+def test_ingest_batch_by_batch(spark, rows):
+    """Each batch loses what it shares with itself or any earlier batch; compaction changes nothing."""
+    from webdistill.llm.common import Workspace
+
+    index, history = passages.FingerprintIndex(Workspace(spark), "i"), []
+    for k in range(3):
+        batch = [r for i, r in enumerate(rows) if i % 3 == k and len(r[1] or "") < 100_000]
+        found = passages.ingest(spark.createDataFrame(batch, "doc_id long, text string"), index, window=6)
+        expected = brute.op6([*history, *batch], 6)
+        same(digest6(found), expected[len(history) :])
+        history += batch
+        if k == 1:
+            index.compact()
+
+
 def test_lines(docs, rows):
     same(digest7(linedup.dedup_lines(docs)), brute.op7(rows))
 

@@ -157,6 +157,28 @@ def _open_windows(length: int):
     return run
 
 
+def _all_windows(length: int):
+    """Every window of every document, as rows for an index."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, bounds in views(batch.column("text")):
+                start, end, words = word_spans(raw, bounds)
+                size = np.maximum(np.diff(words) - length + 1, 0)
+                doc = np.repeat(np.arange(j - i), size)
+                own = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+                at = own + words[doc]
+                hashes = [Rolling(mix(Rolling(byte_units(raw, w), w).of(start, end)), w) for w in (0, 1)]
+                d = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(mix(h.of(at, at + length)).view(np.int64)) for h in hashes), pa.array(np.ones(len(doc), dtype=np.int64)), batch.column("id").slice(i, j - i).take(d), batch.column("th").slice(i, j - i).take(d), pa.array(own.astype(np.int32))],
+                    names=["fp", "chk", "n", "id", "th", "at"],
+                )
+
+    return run
+
+
 @tidy
 def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -188,3 +210,18 @@ def dedup_passages(
     edges = windows.filter("n = 1").join(twice.hint("merge"), ["fp", "chk"], "left_semi").select("id", "th", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     spans = space.store(spans.unionByName(edges), "spans")
     return by_document(spans, rows, "lo", "hi", how="left").mapInArrow(_keep_words, "id long, n_words long, n_removed long, kept string")
+
+
+def ingest(docs: DataFrame, index: FingerprintIndex, *, id_column: str = "doc_id", text_column: str = "text", window: int = 35) -> DataFrame:
+    """A new batch against history: as dedup_passages, with every window that an earlier batch holds, or that
+    the batch holds twice, counting as repeated.  Afterwards the index has one more run; what earlier
+    batches kept stays as it is.
+    """
+    space = index.space
+    rows = keyed(narrow(docs, id=id_column, text=text_column))
+    windows = space.store(rows.mapInArrow(_all_windows(window), "fp long, chk long, n long, id long, th long, at int"), "new")
+    own = space.store(windows.groupBy("fp", "chk").agg(F.sum("n").alias("n")), "counted")
+    known = space.store(index.seen(own).filter("seen + n > 1").select("fp", "chk"), "known")
+    index.append(own)
+    hit = windows.join(known.hint("merge"), ["fp", "chk"], "left_semi").select("id", "th", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
+    return by_document(hit, rows, "lo", "hi", how="left").mapInArrow(_keep_words, "id long, n_words long, n_removed long, kept string")
