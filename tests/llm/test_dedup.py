@@ -121,13 +121,13 @@ def test_perfect_hash():
     assert sorted(built.index(keys).tolist()) == list(range(len(keys)))
 
 
-@pytest.mark.parametrize("frequent", [None, 1, 3, 10**9])
+@pytest.mark.parametrize("frequent", [None, 3])
 def test_jaccard(docs, rows, frequent):
     found = jaccard.jaccard_components(docs, frequent=frequent).select("id", "n_shingles", "component_id").collect()
     same(found, brute.op3(rows))
 
 
-@pytest.mark.parametrize("frequent", [0, 4, None])
+@pytest.mark.parametrize("frequent", [0, None])
 def test_jaccard_near_copies(spark, frequent):
     """Families of near copies at many distances: every link round the threshold counts."""
     r = random.Random(5)
