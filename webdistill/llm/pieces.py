@@ -62,7 +62,7 @@ class Vocabulary:
 class Codec:
     """Encoder and decoder for one vocabulary; the automaton is built in the process that uses it."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 80_000):
+    def __init__(self, vocabulary: Vocabulary, cache: int = 150_000):
         import ahocorasick
 
         self.vocabulary = vocabulary
