@@ -59,8 +59,16 @@ def _expand(per_page: Callable[[str], list[tuple]], schema: pa.Schema, most: int
     return run
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Over all cores where a table comes in fewer parts than there are cores; larger tables stay as they lie."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pages(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
-    return pages.select(pages[id_column].cast("long").alias("page_id"), pages[html_column].alias("html"))
+    return spread(pages.select(pages[id_column].cast("long").alias("page_id"), pages[html_column].alias("html")))
 
 
 def html_to_markdown(
@@ -83,6 +91,8 @@ def html_to_markdown(
         pages[id_column].cast("long").alias("page_id"), pages[html_column].alias("html"), *([pages[url_column].alias("url")] if site_rules else [])
     )
 
+    read = spread(read)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..config import resolve_for
 
