@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,12 +36,15 @@ _HEX_RUN = b"h" * 24
 _HEX_MAP = bytes(104 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-_NAME = re.compile(r"([A-Za-z_$][\w$.\-]{0,120})[\"'`]?\]?[ \t]{0,16}$")
+_RUN = re.compile(r"[\w$.\-]+")
+_FIRST = re.compile(r"[A-Za-z_$]")
 _OPERATOR = re.compile(r":=|=>|=(?!=)|:(?!//)")
-_QUOTED = re.compile(r'"((?:[^"\\\n]|\\.){0,4096})"|\'((?:[^\'\\\n]|\\.){0,4096})\'|`([^`]{0,4096})`')
-_IDENT = re.compile(r"[A-Za-z_$][\w$.]{0,120}(?![\w(])")
-_BARE = re.compile(r"[^\s\"'`,;#(){}\[\]<>]{6,512}")
+_QUOTED = re.compile(r'"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|\'([^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+)\'|`([^`]*+)`')
+_IDENT = re.compile(r"[A-Za-z_$][\w$.]*(?![\w(])")
+_BARE = re.compile(r"[^\s\"'`,;#(){}\[\]<>]{6,}+")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.|&)[ \t]*\n?[ \t]*")
+#: Longer values are held as what scoring needs of them, not as text, and need a placeholder for each so many characters to be one.
+_PLAIN = 512
 
 #: Name parts and how far each makes a target sensitive.
 SENSITIVE = {
@@ -47,6 +52,8 @@ SENSITIVE = {
     "token": 2, "credential": 2, "credentials": 2, "auth": 2, "bearer": 2, "key": 1, "pass": 2, "signature": 1, "cert": 1, "dsn": 2,
 }
 _PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|change.?me|your|xxx|\*\*\*|\.\.\.|\$\{|\{\{|<|%\(|test|none|null|true|false", re.I)
+#: Every place where a placeholder begins, and how long one is at most.
+_PLACEHOLDERS, _PLACEHOLDER_CHARS = re.compile(f"(?={_PLACEHOLDER.pattern})", re.I), 11
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -68,58 +75,175 @@ def sensitivity(name: str) -> int:
     return max((SENSITIVE.get(p, 0) for p in parts + both), default=0)
 
 
+class Summary:
+    """What scoring needs of a value; that of a concatenation follows from its parts' without the text.
+
+    Names that double themselves make values of 2^k characters: counts are in units of 2^scale, which
+    grows once they have 2048 bits and leaves out less than a float can tell.
+    """
+
+    __slots__ = ("counts", "n", "scale", "hits", "head", "tail", "blank", "lead", "inner", "trail")
+
+    def __init__(self, text: str = ""):
+        body, n = text.strip(), len(text)
+        self.counts, self.n, self.scale = dict(Counter(text)), n, 0
+        self.hits = sum(1 for _ in _PLACEHOLDERS.finditer(text))
+        self.head, self.tail = text[: _PLACEHOLDER_CHARS - 1], text[1 - _PLACEHOLDER_CHARS :]
+        # blanks before, within and after what strip() leaves
+        self.blank, self.inner = not body, " " in body
+        self.lead, self.trail = " " in text[: n - len(text.lstrip())], " " in text[len(text.rstrip()) :]
+
+    def __add__(self, o: Summary) -> Summary:
+        s = Summary()
+        s.scale = max(self.scale, o.scale)
+        down, s.n = s.scale - o.scale, (self.n >> s.scale - self.scale) + (o.n >> s.scale - o.scale)
+        s.counts = {k: c >> s.scale - self.scale for k, c in self.counts.items()} if s.scale > self.scale else dict(self.counts)
+        for k, c in o.counts.items():
+            s.counts[k] = s.counts.get(k, 0) + (c >> down)
+        if s.n.bit_length() > 2048:
+            s.n, s.scale, s.counts = s.n >> 1024, s.scale + 1024, {k: c >> 1024 for k, c in s.counts.items()}
+        across = sum(m.start() < len(self.tail) for m in _PLACEHOLDERS.finditer(self.tail + o.head)) - sum(1 for _ in _PLACEHOLDERS.finditer(self.tail))
+        s.hits = sum(-(-h >> s.scale - scale) for h, scale in ((self.hits, self.scale), (o.hits, o.scale), (across, 0)))  # never down to 0
+        s.head, s.tail = (self.head + o.head)[: _PLACEHOLDER_CHARS - 1], (self.tail + o.tail)[1 - _PLACEHOLDER_CHARS :]
+        s.blank = self.blank and o.blank
+        s.lead = self.lead or self.blank and o.lead
+        s.trail = o.trail or o.blank and self.trail
+        s.inner = self.inner or o.inner or not self.blank and not o.blank and (self.trail or o.lead)
+        return s
+
+    def randomness(self) -> float:
+        n = self.n
+        # a word that makes a short value a placeholder stands in a long key by chance
+        if n < 8 or self.hits and (self.inner or _PLAIN * self.hits >= n):
+            return 0.0
+        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c / n)
+        classes = sum(any(f(c) for c in self.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in self.counts)
+        if classes < 2 and not all(c.isdigit() for c in self.counts) and n < 32:
+            return 0.0
+        return bits + 0.3 * (classes - 1) - (1.5 if self.inner else 0.0)
+
+
 def randomness(value: str) -> float:
     """Bits by symbol frequencies, a little more for mixed classes; 0 for words and placeholders."""
-    if len(value) < 8 or _PLACEHOLDER.search(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    if classes < 2 and not value.isdigit() and n < 32:
-        return 0.0
-    return bits + 0.3 * (classes - 1) - (1.5 if " " in value.strip() else 0.0)
-
-
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, propagated value, spans of its literals) in text order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    return Summary(value).randomness()
+
+
+class Value:
+    """A propagated value: its text while short, else its summary; its parts or the span of its literal."""
+
+    __slots__ = ("text", "_summary", "parts", "span", "told")
+
+    def __init__(self, text: str | None, summary: Summary | None, parts: tuple[Value, ...] = (), span: tuple[int, int] | None = None):
+        self.text, self._summary, self.parts, self.span, self.told = text, summary, parts, span, False
+
+    @property
+    def summary(self) -> Summary:
+        return self._summary or Summary(self.text)
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Spans of all literals within, but for those of values told before."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                if v.span:
+                    yield v.span
+                todo.extend(v.parts)
+
+
+def _leaf(text: str, a: int, b: int) -> Value:
+    return Value(text[a:b], None, span=(a, b)) if b - a <= _PLAIN else Value(None, Summary(text[a:b]), span=(a, b))
+
+
+def _concat(parts: list[Value]) -> Value:
+    if len(parts) == 1:
+        return parts[0]
+    if all(p.text is not None for p in parts) and sum(len(p.text) for p in parts) <= _PLAIN:
+        return Value("".join(p.text for p in parts), None, tuple(parts))
+    total = parts[0].summary
+    for p in parts[1:]:
+        total += p.summary
+    return Value(None, total, tuple(parts))
+
+
+class _BareRuns:
+    """Bare values from left to right.  Operators inside a run open values that end where it ends: the run
+    is read once, and what lies before each value is taken off its counts."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.end = text, 0, 0
+
+    def leaf(self, at: int) -> Value | None:
+        if at >= self.end:
+            m = _BARE.match(self.text, at)
+            if not m:
+                return None
+            self.at, self.end = m.span()
+            self.left: Counter | None = None
+        if self.end - at < 6:
+            return None
+        if self.end - at <= _PLAIN:
+            return _leaf(self.text, at, self.end)
+        if self.left is None:
+            self.left, self.at = Counter(self.text[at : self.end]), at
+            self.hits = [m.start() for m in _PLACEHOLDERS.finditer(self.text, at, self.end)]
+        self.left -= Counter(self.text[self.at : at])
+        self.at = at
+        s = Summary(self.text[at : at + _PLACEHOLDER_CHARS - 1])
+        s.counts, s.n, s.hits = dict(self.left), self.end - at, len(self.hits) - bisect_left(self.hits, at)
+        s.tail = self.text[self.end + 1 - _PLACEHOLDER_CHARS : self.end]
+        return Value(None, s, span=(at, self.end))
+
+
+def _target(head: str) -> str | None:
+    """The name that ends the text before an operator, with a quote, a bracket and blanks after it."""
+    head = head.removesuffix("\n").rstrip(" \t").removesuffix("]")
+    if head[-1:] in ('"', "'", "`"):
+        head = head[:-1]
+    run = _RUN.match(head[::-1])
+    name = run and run[0][::-1]
+    first = _FIRST.search(name) if name else None
+    return name[first.start() :] if first else None
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(target name, propagated value) in text order."""
+    known: dict[str, Value] = {}
+    bare = _BareRuns(text)
+    past = 0
     for op in _OPERATOR.finditer(text):
-        target = _NAME.search(text, max(0, op.start() - 140), op.start())
+        # no name reaches over an earlier operator
+        target, past = _target(text[past : op.start()]), op.end()
         if not target:
             continue
-        at, value, spans = op.end(), "", []
+        at, parts = op.end(), []
         while at < len(text) and text[at] in " \t":
             at += 1
-        first = True
         while True:
             if m := _QUOTED.match(text, at):
-                g = next(i for i in (1, 2, 3) if m[i] is not None)
-                value += m[g]
-                spans.append(m.span(g))
+                parts.append(_leaf(text, *m.span(m.lastindex)))
             elif (m := _IDENT.match(text, at)) and m[0] in known:
-                value += known[m[0]][0]
-                spans += known[m[0]][1]
-            elif first and (m := _BARE.match(text, at)):
-                value, spans = m[0], [m.span()]
-                at = m.end()
-                break
+                parts.append(known[m[0]])
             else:
+                if not parts and (v := bare.leaf(at)):
+                    parts.append(v)
                 break
-            at, first = m.end(), False
+            at = m.end()
             if not (j := _JOIN.match(text, at)) or j.end() >= len(text):
                 break
             at = j.end()
-        if spans:
-            known[target[1]] = (value[:8192], spans[:64])
-            yield target[1], value, spans
+        if parts:
+            known[target] = _concat(parts)
+            yield target, known[target]
 
 
 def literal_spans(text: str, least: float = 5.5) -> list[tuple[int, int, str]]:
     out = set()
-    for name, value, spans in assignments(text):
+    for name, value in assignments(text):
         weight = sensitivity(name)
-        if weight and (r := randomness(value)) and weight + r >= least:
-            out.update(spans)
+        if weight and (r := value.summary.randomness()) and weight + r >= least:
+            out.update(value.spans())
     return [(a, b, "literal") for a, b in sorted(out) if b > a]
 
 
@@ -130,7 +254,9 @@ def scan_text(raw: bytes | None) -> list[tuple[int, int, str]]:
     text = raw.decode()
     spans = base_spans(text, raw)
     if b"=" in raw or b":" in raw:
-        spans += [x for x in literal_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in spans)]
+        base = sorted(spans)
+        starts, reach = [a for a, _, _ in base], [-1, *accumulate((b for _, b, _ in base), max)]
+        spans += [x for x in literal_spans(text) if reach[bisect_right(starts, x[0])] < x[1]]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
