@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webdistill.llm import decontaminate, jaccard, linedup, pieces, quality
-from webdistill.llm.common import store, table
+from webdistill.llm.common import store, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,10 +32,12 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: that with the least doc_id."""
-    found = jaccard.jaccard_components(docs)
-    first = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of similar ones stays: that with the least doc_id.  Rows with a null or
+    repeated doc_id are documents of their own; only rows equal in doc_id and text are one."""
+    first = jaccard.jaccard_firsts(docs).select(F.col("id").alias("first_id"), F.col("th").alias("first_th"))
+    rows = docs.select(*COLUMNS).withColumn("th", text_key())
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["first_id"]) & (rows["th"] == first["first_th"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,18 +246,9 @@ def _as(side: str, m: DataFrame, *keys: str) -> DataFrame:
     return m.select(*keys, *[F.col(x).alias(f"{side}_{x}") for x in m.columns if x not in keys])
 
 
-def jaccard_components(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = 3, num: int = 9, den: int = 10,
-    frequent: int | None = None,
-) -> DataFrame:
-    """One row a document: id, n_shingles, component_id (least id that links reach).  Similarity num/den.
-
-    frequent: tokens in cells with more documents than this are frequent; by default eight times the
-    mean cell, and at least 64.
-    """
-    spark = docs.sparkSession
-    space = Workspace(spark)
-    rows = keyed(narrow(docs, id=id_column, text=text_column))
+def _linked(space: Workspace, rows: DataFrame, size: int, num: int, den: int, frequent: int | None) -> tuple[DataFrame, DataFrame]:
+    """rows(id, text, th) to classes(id, th, n, c) and edges(a, b): enough links of classes for all components."""
+    spark = rows.sparkSession
     classes = space.store(rows.mapInArrow(_classes(size), "id long, th long, n long, c long"), "classes")
     sketch = count_sketch(rows, size)
     if frequent is None:
@@ -301,9 +292,24 @@ def jaccard_components(
     done = stars.select(F.least("x_c", "y_c").alias("d_x"), F.greatest("x_c", "y_c").alias("d_y"))
     apart = apart.join(done, (F.col("x_c") == F.col("d_x")) & (F.col("y_c") == F.col("d_y")), "left_anti")
     more = compared(space.store(apart, "apart"))
-    edges = links.unionByName(space.store(more, "links")).select(F.col("x_c").alias("a"), F.col("y_c").alias("b"))
-    # rows that share an id are one vertex
-    same_id = classes.filter("c is not null").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("a", "b")
+    return classes, links.unionByName(space.store(more, "links")).select(F.col("x_c").alias("a"), F.col("y_c").alias("b"))
+
+
+def jaccard_components(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = 3, num: int = 9, den: int = 10,
+    frequent: int | None = None,
+) -> DataFrame:
+    """One row a document: id, n_shingles, component_id (least id that links reach).  Similarity num/den.
+
+    frequent: tokens in cells with more documents than this are frequent; by default eight times the
+    mean cell, and at least 64.
+    """
+    space = Workspace(docs.sparkSession)
+    classes, edges = _linked(space, keyed(narrow(docs, id=id_column, text=text_column)), size, num, den, frequent)
+    # rows that share an id are one vertex: each class of an id and its least one
+    full = classes.filter("c is not null").select("id", "c")
+    many = full.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select(F.col("id").alias("m_id"), "a")
+    same_id = full.join(many, F.col("id").eqNullSafe(F.col("m_id"))).filter("a <> c").select("a", F.col("c").alias("b")).distinct()
     roots = components(space, edges.unionByName(same_id))
 
     placed = space.store(classes.join(roots, "c", "left").select("id", "n", F.coalesce("root", "c").alias("root")), "roots")
@@ -311,3 +317,18 @@ def jaccard_components(
     out = placed.join(least, "root", "left")
     found = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.nullif("least", F.lit(_NO_ID)))
     return out.select("id", F.col("n").alias("n_shingles"), found.alias("component_id"))
+
+
+def jaccard_firsts(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = 3, num: int = 9, den: int = 10,
+    frequent: int | None = None,
+) -> DataFrame:
+    """id and text key (common.text_key) of the first row of each group of similar rows, null id first.
+
+    Unlike above a vertex is a row, that is its id and text: rows of one id or without one are linked only by their sets.
+    """
+    space = Workspace(docs.sparkSession)
+    classes, edges = _linked(space, keyed(narrow(docs, id=id_column, text=text_column)), size, num, den, frequent)
+    placed = classes.join(components(space, edges), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    first = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("at")).select("at.id", "at.th")
+    return first.unionByName(placed.filter("root is null").select("id", "th").distinct())
