@@ -39,7 +39,9 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLASS_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Dropped with everything inside, up to their end tag.
-OPAQUE = frozenset("script style noscript template iframe object svg math canvas select textarea title xmp audio video".split())
+OPAQUE = frozenset("script style noscript template iframe svg canvas select textarea title audio video".split())
+#: Without an end tag these reach to the end of the page; other opaque ones to their container's end or the next block.
+RAW = frozenset("script style iframe textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -134,6 +136,16 @@ def parse(page: str) -> list[Block]:
             if top[4]:
                 linked += len(text.strip())
 
+    unclosed: set[str] = set()
+
+    def end_of(name: str) -> re.Match | None:
+        end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+        if not end:
+            unclosed.add(name)
+        elif name in ("audio", "video") and re.compile(rf"<{name}[\s>]", re.I).search(page, pos, end.start()):
+            return None  # these don't nest: the end tag is another's
+        return end
+
     while m := _TAG.search(page, pos):
         say(page[pos : m.start()])
         pos = m.end()
@@ -145,11 +157,21 @@ def parse(page: str) -> list[Block]:
         tag = tag.lower()
         if tag in OPAQUE:
             if not close and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
+                if (end := end_of(tag)) or tag in RAW:
+                    pos = end.end() if end else len(page)
+                else:
+                    stack.append((tag, next_id, -1, True, stack[-1][4]))
+                    next_id += 1
             if tag in ("title", "select", "textarea"):
                 flush()
             continue
+        if tag == "xmp" and not close:
+            end = end_of(tag)
+            upto = end.start() if end else len(page)
+            if not stack[-1][3]:
+                parts.append(page[pos:upto])
+            pos = end.end() if end else len(page)
+            continue
         block = tag in BLOCK
         if block:
             flush()
@@ -166,6 +188,11 @@ def parse(page: str) -> list[Block]:
                     break
             continue
         if block:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in BLOCK:
+                    break
+                if stack[i][0] in OPAQUE:
+                    del stack[i:]
             # a paragraph ends where a block begins, items and cells where the next begins
             ends = ("p",) if tag not in ("li", "td", "th", "tr", "dd", "dt", "option") else ("p", "dd", "dt") if tag in ("dd", "dt") else ("p", "td", "th") if tag in ("td", "th") else ("p", tag)
             for i in range(len(stack) - 1, 0, -1):
