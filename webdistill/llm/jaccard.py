@@ -19,8 +19,9 @@ exactly or already connected.  Components are found by alternating star steps on
 
 Defined cases: null or empty text, or text without words, is an empty set linked with nothing.  Fewer
 than three words are one shingle.  Rows that share a doc_id are one vertex; repeated rows are equal
-sets.  A null doc_id is a vertex below all others.  Empty tables give no rows.  Sets are told apart by
-64-bit hashes (a false meeting of n classes has a chance of n^2 / 2^65).
+sets.  A null doc_id is a vertex below all others.  Empty tables give no rows.  Shingles and sets are
+told apart by 64-bit hashes that are not linear (``repeats``): some two of n different sets meet falsely
+with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, narrow, tidy, views
 from .passages import keyed
-from .repeats import Rolling, byte_units, mix, word_spans
+from .repeats import Windows, mix, pair, word_spans, word_units
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -49,23 +51,24 @@ REGIMES = ((0, 1), (40, 4), (400, 16), (4000, 64))
 def token_sets(raw: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     start, end, words = word_spans(raw, bounds)
-    folded = _FOLD[raw]
-    units = mix(Rolling(byte_units(folded)).of(start, end))
-    roll = Rolling(units)
-    grams = mix(roll.grams(size) + np.uint64(size)) if len(units) >= size else units[:0]
+    units = word_units(_FOLD[raw], start, end)
+    grams = mix(Windows(units, size).all(size) + np.uint64(size))
     for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
         if b - a >= size:
             yield np.unique(grams[a : b - size + 1])
         elif b > a:
-            yield mix(roll.of(np.array([a]), np.array([b])) + np.uint64(b - a))
+            whole = units[a : a + 1]
+            for i in range(a + 1, b):
+                whole = pair(whole, units[i : i + 1])
+            yield mix(whole + np.uint64(b - a))
         else:
             yield grams[:0]
 
 
 def set_key(tokens: np.ndarray) -> int:
     """A 64-bit hash of a sorted set."""
-    h = Rolling(mix(tokens + np.uint64(1)), 1).of(np.array([0]), np.array([len(tokens)]))
-    return int(mix(h + np.uint64(len(tokens)))[0].view(np.int64))
+    h = xxhash.xxh3_64_intdigest(tokens.tobytes())
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def _classes(size: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_bytes, narrow, text_key, tidy, views
-from .repeats import Rolling, byte_units, merge, mix, text_blocks, word_spans
+from .repeats import Windows, merge, mix, text_blocks, word_spans, word_units
 
 BLOCK_ROWS = "fp long, chk long, id long, th long, first int, last int"
 
@@ -131,7 +131,7 @@ def _open_windows(length: int):
         for batch in batches:
             for i, j, raw, bounds in views(batch.column("text")):
                 start, end, words = word_spans(raw, bounds)
-                hashes = [Rolling(mix(Rolling(byte_units(raw, w), w).of(start, end)), w) for w in (0, 1)]
+                hashes = [Windows(word_units(raw, start, end, w), length, w) for w in (0, 1)]
                 ids, keys = batch.column("id").slice(i, j - i), batch.column("th").slice(i, j - i)
                 text, first, last, weight = [], [], [], []
                 for k, blocks in enumerate(batch.column("rows").slice(i, j - i).to_pylist()):
@@ -147,7 +147,7 @@ def _open_windows(length: int):
                 own = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.array(first)[which]
                 doc = np.array(text)[which]
                 at = own + words[doc]
-                out = [mix(h.of(at, at + length)).view(np.int64) for h in hashes]
+                out = [mix(h.of(at, length)).view(np.int64) for h in hashes]
                 d = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0]), pa.array(out[1]), pa.array(np.array(weight, dtype=np.int64)[which]), ids.take(d), keys.take(d), pa.array(own.astype(np.int32))],
@@ -169,10 +169,10 @@ def _all_windows(length: int):
                 doc = np.repeat(np.arange(j - i), size)
                 own = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 at = own + words[doc]
-                hashes = [Rolling(mix(Rolling(byte_units(raw, w), w).of(start, end)), w) for w in (0, 1)]
+                hashes = [Windows(word_units(raw, start, end, w), length, w) for w in (0, 1)]
                 d = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(mix(h.of(at, at + length)).view(np.int64)) for h in hashes), pa.array(np.ones(len(doc), dtype=np.int64)), batch.column("id").slice(i, j - i).take(d), batch.column("th").slice(i, j - i).take(d), pa.array(own.astype(np.int32))],
+                    [*(pa.array(mix(h.of(at, length)).view(np.int64)) for h in hashes), pa.array(np.ones(len(doc), dtype=np.int64)), batch.column("id").slice(i, j - i).take(d), batch.column("th").slice(i, j - i).take(d), pa.array(own.astype(np.int32))],
                     names=["fp", "chk", "n", "id", "th", "at"],
                 )
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, narrow, store, tidy, views
-from .repeats import SPACE, Rolling, byte_units, mix, word_spans
+from .repeats import SPACE, Windows, mix, word_spans, word_units
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -60,7 +60,7 @@ def _text_stats(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         out[i, 3] = len(lines) - len(set(lines))
     size = 8
     if len(start) >= size:
-        grams = Rolling(mix(Rolling(byte_units(raw)).of(start, end))).grams(size)
+        grams = Windows(word_units(raw, start, end), size).all(size)
         at = np.arange(len(grams))
         text = np.searchsorted(words, at, side="right") - 1
         ok = at + size <= words[text + 1]

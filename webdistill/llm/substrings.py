@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, as_bytes, narrow, tidy
 from .passages import BLOCK_ROWS, FingerprintIndex, by_document, keyed, list_blocks
-from .repeats import Rolling, byte_units, merge, mix
-from .suffixes import sort_suffixes
+from .repeats import Windows, byte_units, merge, mix
+from .suffixes import shares_prefix, sort_suffixes
 
 _DECIDED = "fp long, chk long, lo int, hi int, w1 long, w2 long, n long"
 
@@ -77,13 +77,12 @@ def _solve(strings: list[list[tuple[int, int, int, int, bytes]]], length: int) -
     block = np.full(len(text), -1, dtype=np.int64)
     starts = np.repeat(start, size - length + 1) + _within(size - length + 1)
     block[starts] = np.repeat(np.arange(len(size)), size - length + 1)
-    pos = sa[block[sa] >= 0]
-    units = np.maximum(text - 2, 0)
-    rolls = [Rolling(byte_units(units, w), w) for w in (0, 1)]
-    key = [r.of(pos, pos + length) for r in rolls]
-    owner = np.repeat(np.arange(len(order)), [len(laid[i]) for i in order])[pos]
+    # neighbours in the suffix array whose first `length` bytes are the same are one class
+    whole = block[sa] >= 0
+    pos = sa[whole]
+    run = np.cumsum(~shares_prefix(text, sa, np.array([len(laid[i]) for i in order]), length))[whole]
     turn = np.ones(len(pos), dtype=bool)
-    turn[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (owner[1:] != owner[:-1])
+    turn[1:] = run[1:] != run[:-1]
     group = np.cumsum(turn) - 1
     weight = np.array([flat[k][2] for k in numbers], dtype=np.int64)[block[pos]]
     total = np.bincount(group, weights=weight).astype(np.int64)
@@ -106,7 +105,9 @@ def _solve(strings: list[list[tuple[int, int, int, int, bytes]]], length: int) -
     fp = np.array([flat[i][0] for i in numbers], dtype=np.int64)
     chk = np.array([flat[i][1] for i in numbers], dtype=np.int64)
     none = np.ones(len(spans[0]), dtype=bool)
-    w = [pa.array(np.concatenate([np.zeros(len(spans[0]), dtype=np.int64), mix(x[lead]).view(np.int64)]), mask=np.concatenate([none, np.zeros(len(p), dtype=bool)])) for x in key]
+    units = np.maximum(text - 2, 0)
+    key = [mix(Windows(byte_units(units, w), length, w).of(p, length)).view(np.int64) if len(p) else p for w in (0, 1)]
+    w = [pa.array(np.concatenate([np.zeros(len(spans[0]), dtype=np.int64), x]), mask=np.concatenate([none, np.zeros(len(p), dtype=bool)])) for x in key]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(fp[k]), pa.array(chk[k]),

@@ -207,3 +207,40 @@ def sort_suffixes(strings: list[np.ndarray], width: int = 24) -> tuple[np.ndarra
                 parts.append(np.array(suffix_array(text[base[k] : base[k + 1]].tolist()), dtype=np.int64) + base[k])
         a = b
     return text, np.concatenate(parts), order
+
+
+def shares_prefix(text: np.ndarray, sa: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix of `sa` has its first `length` symbols in common with the one before it in its string.
+
+    Longest common prefixes are found in text order: where the symbols before both suffixes are equal too,
+    the prefix is one shorter than that of the suffix one symbol earlier.  Only the other suffixes are
+    compared, four symbols a step, until they differ; a string's end differs from all else in it.
+    """
+    n = len(text)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    before = np.empty(n, dtype=np.int64)
+    before[sa[1:]] = sa[:-1]
+    before[sa[first]] = -1  # the least suffix of a string has none before it
+    at = np.arange(n)
+    known = (before > 0) & (text[at - 1] == text[before - 1])
+    known[first] = False
+    starts = np.isin(before, first)
+    known[starts] = False
+    todo = np.flatnonzero(~known)
+    common = np.zeros(n, dtype=np.int64)
+    packed = np.zeros(n + 4, dtype="<u2")
+    packed[:n] = text
+    four = np.ndarray((n + 1,), dtype="<u8", buffer=packed, strides=(2,))
+    live = todo[before[todo] >= 0]
+    step = 0
+    while len(live):
+        odd = four[live + step] ^ four[before[live] + step]
+        differs = odd != 0
+        lowest = odd[differs]
+        lowest &= ~lowest + np.uint64(1)
+        common[live[differs]] = step + np.log2(lowest.astype(np.float64)).astype(np.int64) // 16
+        live = live[~differs]
+        step += 4
+    last = np.maximum.accumulate(np.where(known, 0, at))
+    common = common[last] - (at - last)
+    return common[sa] >= length
