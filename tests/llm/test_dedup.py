@@ -80,16 +80,32 @@ def test_passages_short_windows(docs, rows, batches):
 def test_index(spark):
     from webdistill.llm.common import Workspace
 
-    index = passages.FingerprintIndex(Workspace(spark), "t")
     batch = lambda *x: spark.createDataFrame([(a, b, 1) for a, b in x], "fp long, chk long, n long")
+    index = passages.FingerprintIndex(Workspace(spark), "t", fan=2)
+    told = lambda: {tuple(r) for r in index.repeated().collect()}
     index.append(batch((1, 1), (1, 1), (2, 2)))
-    index.append(batch((2, 2), (2, 3)))
-    seen = index.seen(batch((1, 1), (2, 2), (2, 3), (4, 4))).collect()
-    assert {(r.fp, r.chk): r.seen for r in seen} == {(1, 1): 2, (2, 2): 2, (2, 3): 1, (4, 4): 0}
-    assert {(r.fp, r.chk): r.n for r in index.compact().collect()} == {(1, 1): 2, (2, 2): 2, (2, 3): 1}
+    assert told() == {(1, 1)}
+    index.append(batch((2, 2), (2, 3), (4, 4), (5, 5), (5, 5)))
+    assert told() == {(2, 2), (5, 5)}
+    index.append(batch((1, 1), (2, 3)))
+    assert told() == {(1, 1), (2, 3)} and len(index.runs) == 3
+    index.append(batch((4, 4), (6, 6)))
+    assert told() == {(4, 4)} and len(index.runs) == 2
+    assert {(r.fp, r.chk): r.n for r in index.compact().collect()} == {(1, 1): 3, (2, 2): 2, (2, 3): 2, (4, 4): 2, (5, 5): 2, (6, 6): 1}
     assert len(index.runs) == 1
 
 
+@pytest.mark.parametrize("by", [("fp",), ("fp", "chk")])
+def test_runs_are_merge_joined_without_exchange(spark, by):
+    from webdistill.llm.common import Workspace
+
+    index = passages.FingerprintIndex(Workspace(spark), "t", by=by)
+    for k in range(2):
+        index.append(spark.range(50).selectExpr("id % 20 fp", f"id + {k} chk", "1L n"))
+    plan = index.repeated()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and len(index.runs) == 2
+
+
 def test_ingest_batch_by_batch(spark, rows):
     """Each batch loses what it shares with itself or any earlier batch; compaction changes nothing."""
     from webdistill.llm.common import Workspace

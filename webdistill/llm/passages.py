@@ -1,9 +1,10 @@
 """Operator 6, substring dedup over words: a log-structured fingerprint index.
 
 The index holds sorted immutable runs of (fingerprint, check, count).  Each batch of documents adds one
-run: its fingerprints, counted, dealt by hash and sorted.  Runs are merge-joined with later batches and
-merged by compaction; a fingerprint is believed only together with its check, an independent 64-bit hash
-of the same words, so a match is verified on 128 bits.
+run: its fingerprints, counted, dealt to buckets by hash and sorted.  A new run is merge-joined with each
+earlier one, bucket by bucket without an exchange; runs are merged by compaction once there are more than
+``fan``.  A fingerprint is believed only together with its check, another hash of the same words
+(``repeats``), by which every match is verified.
 
 Windows are indexed in two levels, so that a batch need not list each of its windows.  Windows that
 share their smallest gram form a block (see ``repeats``).  The first level indexes blocks.  A block
@@ -58,55 +59,69 @@ def list_blocks(unit: str, length: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, chk, n) in the shared folder."""
-
-    def __init__(self, space: Workspace, name: str):
-        self.space, self.name, self.runs = space, name, []
-
-    def append(self, batch: DataFrame) -> None:
-        """batch(fp, chk, n): adds one sorted run."""
-        run = batch.groupBy("fp", "chk").agg(F.sum("n").alias("n")).sortWithinPartitions("fp", "chk")
-        self.runs.append(self.space.store(run, self.name))
-
-    def seen(self, batch: DataFrame) -> DataFrame:
-        """batch(fp, chk, ...) merge-joined with every run: the batch with `seen`, how often history has it."""
-        for k, run in enumerate(self.runs):
-            r = run.select(F.col("fp").alias("r_fp"), F.col("chk").alias("r_chk"), F.col("n").alias(f"r_{k}"))
-            batch = batch.join(r.hint("merge"), (F.col("fp") == F.col("r_fp")) & (F.col("chk") == F.col("r_chk")), "left").drop("r_fp", "r_chk")
-        total = sum((F.coalesce(F.col(f"r_{k}"), F.lit(0)) for k in range(len(self.runs))), F.lit(0))
-        return batch.withColumn("seen", total.cast("long")).drop(*[f"r_{k}" for k in range(len(self.runs))])
+    """Sorted immutable runs of (fp, chk, n) in the shared folder, in buckets by `by`."""
+
+    def __init__(self, space: Workspace, name: str, by: tuple[str, ...] = ("fp", "chk"), fan: int = 4):
+        self.space, self.name, self.by, self.fan, self.runs = space, name, by, fan, []
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy("fp", "chk").agg(F.sum("n").alias("n"))
+        # fewer columns than those of the count need another exchange, by which each bucket is one file
+        return counted if self.by == ("fp", "chk") else counted.repartition(*self.by)
+
+    def append(self, batch: DataFrame) -> DataFrame:
+        """batch(fp, chk, n): adds one sorted run, and merges the earlier ones first if there are too many."""
+        if len(self.runs) > self.fan:
+            self.compact()
+        self.runs.append(self.space.store_sorted(self._counted(batch), self.name, self.by))
+        return self.runs[-1]
+
+    def repeated(self) -> DataFrame:
+        """Keys of the newest run that stand in it more than once or in an earlier run; a key may come more than once."""
+        new = self.runs[-1]
+        out = new.groupBy(*self.by).agg(F.sum("n").alias("n")).filter("n > 1").select(*self.by)
+        for r in self.runs[:-1]:
+            out = out.unionAll(new.select(*self.by).join(r.select(*self.by).hint("merge"), list(self.by), "left_semi"))
+        return out
 
     def all(self) -> DataFrame:
-        out = self.runs[0]
+        out = self.space.unsorted(self.runs[0])
         for r in self.runs[1:]:
-            out = out.unionByName(r)
+            out = out.unionByName(self.space.unsorted(r))
         return out
 
     def compact(self, keep: DataFrame | None = None) -> DataFrame:
         """Merge all runs into one sorted run; with `keep`(fp), only those fingerprints."""
         rows = self.all() if keep is None else self.all().join(keep.hint("merge"), "fp", "left_semi")
-        merged = rows.groupBy("fp", "chk").agg(F.sum("n").alias("n")).sortWithinPartitions("fp", "chk")
-        old, self.runs = self.runs, [self.space.store(merged, self.name)]
+        old, self.runs = self.runs, [self.space.store_sorted(self._counted(rows), self.name, self.by)]
         for r in old:
             self.space.drop(r)
         return self.runs[0]
 
 
 def repeated_blocks(space: Workspace, docs: DataFrame, unit: str, length: int, gram: int, batches: int) -> tuple[DataFrame, DataFrame]:
-    """First level over docs(id, th, text): covered spans and open blocks.
+    """First level over docs(id, th, text), a batch after the other: covered spans and open blocks.
+
+    Each batch is looked up in the runs of the batches before it; anchors met twice are kept, and the last
+    compaction leaves their blocks only.
 
     spans(id, th, lo, hi): blocks found again as a whole.
     open(fp, chk, n, id, th, first, last): one row for each distinct block whose anchor recurs with
     other content, n times in all.
     """
-    index = FingerprintIndex(space, "blocks")
+    index = FingerprintIndex(space, "blocks", by=("fp",))
     listed = lambda d: d.mapInArrow(list_blocks(unit, length, gram), BLOCK_ROWS)
+    met = []
     for b in range(batches):
         part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("id", "th"), F.lit(batches)) == b)
         index.append(listed(part).select("fp", "chk", F.lit(1).alias("n")))
-    anchors = space.store(index.all().groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "anchors")
-    kinds = index.compact(anchors)
-    space.drop(anchors)
+        met.append(space.store(index.repeated(), "met"))
+    anchors = met[0]
+    for m in met[1:]:
+        anchors = anchors.unionAll(m)
+    kinds = index.compact(anchors.distinct())
+    for m in met:
+        space.drop(m)
     found = space.store(listed(docs).join(kinds.hint("merge"), ["fp", "chk"]), "found")
     mixed = space.store(kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("fp"), "mixed")
     spans = found.filter("n > 1").select("id", "th", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
@@ -205,10 +220,11 @@ def dedup_passages(
     windows = by_document(opened, rows, "first", "last", "n").mapInArrow(_open_windows(window), "fp long, chk long, n long, id long, th long, at int")
     windows = space.store(windows, "opened")
     index.append(windows.select("fp", "chk", "n"))
-    twice = index.runs[0].filter("n > 1").select("fp", "chk")
+    twice = index.repeated()
     # blocks that were found again as a whole are covered already
     edges = windows.filter("n = 1").join(twice.hint("merge"), ["fp", "chk"], "left_semi").select("id", "th", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     spans = space.store(spans.unionByName(edges), "spans")
+    space.keep(spans)
     return by_document(spans, rows, "lo", "hi", how="left").mapInArrow(_keep_words, "id long, n_words long, n_removed long, kept string")
 
 
@@ -220,8 +236,7 @@ def ingest(docs: DataFrame, index: FingerprintIndex, *, id_column: str = "doc_id
     space = index.space
     rows = keyed(narrow(docs, id=id_column, text=text_column))
     windows = space.store(rows.mapInArrow(_all_windows(window), "fp long, chk long, n long, id long, th long, at int"), "new")
-    own = space.store(windows.groupBy("fp", "chk").agg(F.sum("n").alias("n")), "counted")
-    known = space.store(index.seen(own).filter("seen + n > 1").select("fp", "chk"), "known")
-    index.append(own)
+    index.append(windows.select("fp", "chk", "n"))
+    known = space.store(index.repeated(), "known")
     hit = windows.join(known.hint("merge"), ["fp", "chk"], "left_semi").select("id", "th", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     return by_document(hit, rows, "lo", "hi", how="left").mapInArrow(_keep_words, "id long, n_words long, n_removed long, kept string")

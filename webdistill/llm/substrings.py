@@ -192,9 +192,9 @@ def dedup_substrings(
     space = Workspace(docs.sparkSession)
     rows = keyed(narrow(docs, id=id_column, text=text_column))
     listed = space.store(rows.mapInArrow(list_blocks("byte", length, gram), BLOCK_ROWS), "listed")
-    index = FingerprintIndex(space, "blocks")
+    index = FingerprintIndex(space, "blocks", by=("fp",))
     index.append(listed.select("fp", "chk", F.lit(1).alias("n")))
-    anchors = space.store(index.all().groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "anchors")
+    anchors = space.store(index.repeated(), "anchors")
     kinds = index.compact(anchors)
     space.drop(anchors)
     found = space.store(listed.join(kinds.hint("merge"), ["fp", "chk"]), "found")
@@ -214,4 +214,5 @@ def dedup_substrings(
     spans = decided.filter("w1 is null").unionByName(more).select("fp", "chk", "lo", "hi")
     placed = found.join(spans.hint("merge"), ["fp", "chk"]).select("id", "th", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
     placed = space.store(placed, "spans")
+    space.keep(placed)
     return by_document(placed, rows, "lo", "hi", how="left").mapInArrow(_keep_bytes, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
