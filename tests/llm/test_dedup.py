@@ -101,7 +101,7 @@ def test_runs_are_merge_joined_without_exchange(spark, by):
 
     index = passages.FingerprintIndex(Workspace(spark), "t", by=by)
     for k in range(2):
-        index.append(spark.range(50).selectExpr("id % 20 fp", f"id + {k} chk", "1L n"))
+        index.append(spark.range(50).selectExpr("id % 20 fp", f"id + {k} chk", "1L n").select(*by, "n"))
     plan = index.repeated()._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and len(index.runs) == 2
 

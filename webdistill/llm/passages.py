@@ -1,15 +1,15 @@
 """Operator 6, substring dedup over words: a log-structured fingerprint index.
 
-The index holds sorted immutable runs of (fingerprint, check, count).  Each batch of documents adds one
+An index holds sorted immutable runs of fingerprints and their counts.  Each batch of documents adds one
 run: its fingerprints, counted, dealt to buckets by hash and sorted.  A new run is merge-joined with each
 earlier one, bucket by bucket without an exchange; runs are merged by compaction once there are more than
 ``fan``.  A fingerprint is believed only together with its check, another hash of the same words
 (``repeats``), by which every match is verified.
 
 Windows are indexed in two levels, so that a batch need not list each of its windows.  Windows that
-share their smallest gram form a block (see ``repeats``).  The first level indexes blocks.  A block
-found again as a whole is repeated in all its windows; a block whose anchor never recurs holds no
-repeated window; what is left, blocks that share an anchor but not their whole content (the edges of
+share their smallest gram, their anchor, form a block (see ``repeats``).  The first level indexes anchors
+and blocks.  A block found again as a whole is repeated in all its windows; a block whose anchor never
+recurs holds no repeated window; what is left, blocks that share an anchor but not their whole content (the edges of
 repeated passages), is opened into single windows, which the second level indexes.
 
 No step needs the rows of a key in one task: counting combines map-side, joins are plain equi-joins
@@ -59,27 +59,25 @@ def list_blocks(unit: str, length: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, chk, n) in the shared folder, in buckets by `by`."""
+    """Sorted immutable runs of (*by, n) in the shared folder, one row a key, in buckets by key."""
 
     def __init__(self, space: Workspace, name: str, by: tuple[str, ...] = ("fp", "chk"), fan: int = 4):
         self.space, self.name, self.by, self.fan, self.runs = space, name, by, fan, []
 
-    def _counted(self, rows: DataFrame) -> DataFrame:
-        counted = rows.groupBy("fp", "chk").agg(F.sum("n").alias("n"))
-        # fewer columns than those of the count need another exchange, by which each bucket is one file
-        return counted if self.by == ("fp", "chk") else counted.repartition(*self.by)
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        return self.space.store_sorted(rows.groupBy(*self.by).agg(F.sum("n").alias("n")), self.name, self.by)
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """batch(fp, chk, n): adds one sorted run, and merges the earlier ones first if there are too many."""
+        """batch(*by, n): adds one sorted run, and merges the earlier ones first if there are too many."""
         if len(self.runs) > self.fan:
             self.compact()
-        self.runs.append(self.space.store_sorted(self._counted(batch), self.name, self.by))
+        self.runs.append(self._sorted(batch))
         return self.runs[-1]
 
     def repeated(self) -> DataFrame:
         """Keys of the newest run that stand in it more than once or in an earlier run; a key may come more than once."""
         new = self.runs[-1]
-        out = new.groupBy(*self.by).agg(F.sum("n").alias("n")).filter("n > 1").select(*self.by)
+        out = new.filter("n > 1").select(*self.by)
         for r in self.runs[:-1]:
             out = out.unionAll(new.select(*self.by).join(r.select(*self.by).hint("merge"), list(self.by), "left_semi"))
         return out
@@ -93,7 +91,7 @@ class FingerprintIndex:
     def compact(self, keep: DataFrame | None = None) -> DataFrame:
         """Merge all runs into one sorted run; with `keep`(fp), only those fingerprints."""
         rows = self.all() if keep is None else self.all().join(keep.hint("merge"), "fp", "left_semi")
-        old, self.runs = self.runs, [self.space.store_sorted(self._counted(rows), self.name, self.by)]
+        old, self.runs = self.runs, [self._sorted(rows)]
         for r in old:
             self.space.drop(r)
         return self.runs[0]
@@ -109,18 +107,19 @@ def repeated_blocks(space: Workspace, docs: DataFrame, unit: str, length: int, g
     open(fp, chk, n, id, th, first, last): one row for each distinct block whose anchor recurs with
     other content, n times in all.
     """
-    index = FingerprintIndex(space, "blocks", by=("fp",))
+    anchors, index = FingerprintIndex(space, "anchors", by=("fp",)), FingerprintIndex(space, "blocks")
     listed = lambda d: d.mapInArrow(list_blocks(unit, length, gram), BLOCK_ROWS)
     met = []
     for b in range(batches):
         part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("id", "th"), F.lit(batches)) == b)
-        index.append(listed(part).select("fp", "chk", F.lit(1).alias("n")))
-        met.append(space.store(index.repeated(), "met"))
-    anchors = met[0]
+        run = index.append(listed(part).select("fp", "chk", F.lit(1).alias("n")))
+        anchors.append(run.select("fp", "n"))
+        met.append(space.store(anchors.repeated(), "met"))
+    twice = met[0]
     for m in met[1:]:
-        anchors = anchors.unionAll(m)
-    kinds = index.compact(anchors.distinct())
-    for m in met:
+        twice = twice.unionAll(m)
+    kinds = index.compact(twice.distinct())
+    for m in met + anchors.runs:
         space.drop(m)
     found = space.store(listed(docs).join(kinds.hint("merge"), ["fp", "chk"]), "found")
     mixed = space.store(kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("fp"), "mixed")

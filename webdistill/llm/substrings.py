@@ -192,9 +192,9 @@ def dedup_substrings(
     space = Workspace(docs.sparkSession)
     rows = keyed(narrow(docs, id=id_column, text=text_column))
     listed = space.store(rows.mapInArrow(list_blocks("byte", length, gram), BLOCK_ROWS), "listed")
-    index = FingerprintIndex(space, "blocks", by=("fp",))
-    index.append(listed.select("fp", "chk", F.lit(1).alias("n")))
-    anchors = space.store(index.repeated(), "anchors")
+    index = FingerprintIndex(space, "blocks")
+    run = index.append(listed.select("fp", "chk", F.lit(1).alias("n")))
+    anchors = space.store(run.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "anchors")
     kinds = index.compact(anchors)
     space.drop(anchors)
     found = space.store(listed.join(kinds.hint("merge"), ["fp", "chk"]), "found")
