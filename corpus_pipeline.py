@@ -32,9 +32,10 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: that with the least doc_id.  Rows with a null or
-    repeated doc_id are documents of their own; only rows equal in doc_id and text are one."""
-    first = jaccard.jaccard_firsts(docs).select(F.col("id").alias("first_id"), F.col("th").alias("first_th"))
+    """One document of each group of similar ones (five-word shingles, similarity 0.8) stays: that with the least
+    doc_id.  Rows with a null or repeated doc_id are documents of their own; only rows equal in doc_id and
+    text are one."""
+    first = jaccard.jaccard_firsts(docs, size=5, num=4, den=5).select(F.col("id").alias("first_id"), F.col("th").alias("first_th"))
     rows = docs.select(*COLUMNS).withColumn("th", text_key())
     kept = rows.join(first, rows["doc_id"].eqNullSafe(first["first_id"]) & (rows["th"] == first["first_th"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
