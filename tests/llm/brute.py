@@ -57,11 +57,11 @@ def op2(docs, size=200):
     return out
 
 
-def op3(docs, num=9, den=10):
+def op3(docs, num=9, den=10, size=3):
     sets = []
     for doc, text in docs:
         w = WORD.findall((text or "").translate(FOLD))
-        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
     root = list(range(len(docs)))
 
     def find(x):
