@@ -1,12 +1,21 @@
 """Operator 4, secret scans: assignment-aware lexing on top of three base patterns.
 
 Base spans: ``assign``, ``access`` and ``hex`` patterns, leftmost and non-overlapping for each kind, with
-too short matches dropped.  The method then reads the text as source or configuration: every ``=``,
-``:``, ``:=`` or ``=>`` after a name opens an assignment whose right side is a concatenation of quoted
-literals, earlier names and, in configuration style, bare values.  Constants are propagated through
-names, so a secret that is assembled from parts is seen whole.  A value is scored by how sensitive its
-target name is and how random the value looks; literals that reach the threshold add ``literal`` spans
-(the literal's inside), unless a base span already covers them.
+too short matches dropped.  The method then reads the text as source or configuration and gathers pairs
+of a name and a value from
+
+* assignments: ``=``, ``:``, ``:=`` or ``=>`` after a name, with or without a type between them,
+* calls: ``name("literal")``, ``put("name", "literal")``,
+* markup: ``<name>text</name>``, and ``name="..." value="..."`` in elements, objects and lists.
+
+A value is a concatenation of literals (quoted, triple-quoted, prefixed, in brackets or calls, over lines
+where brackets or backslashes continue them; the fixed parts of f-strings), of earlier names and, in
+configuration style, a bare value; or a list of such.  Constants are propagated through names, so a secret
+that is assembled from parts is seen whole.  The names of enclosing objects, in braces or by indentation,
+count for what they hold.  Text inside literals is read as well, for the sake of connection strings and logs.
+
+A value is scored by how sensitive its target name is and how random the value looks; literals that reach
+the threshold add ``literal`` spans (the literal's inside), unless a base span already covers them.
 
 Row-local, no shuffle, one text in memory at a time.  Defined cases: null or empty text has no spans;
 repeated rows are judged alike; an empty table gives no rows.
@@ -38,11 +47,24 @@ _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 _RUN = re.compile(r"[\w$.\-]+")
 _FIRST = re.compile(r"[A-Za-z_$]")
-_OPERATOR = re.compile(r":=|=>|=(?!=)|:(?!//)")
+#: What may open or close a pair: an operator, a call's bracket before a literal, a comma after one, braces, elements, lines.
+_EVENT = re.compile(r"""(?P<op>:=|=>|=(?!=)|:(?!//))|(?P<call>\()(?=\s*+[rRbBuUfF]{0,2}["'`])|(?P<comma>,)(?=\s*+["'`])|(?P<open>\{)|(?P<close>\})|(?P<element><)(?=[A-Za-z_])|(?P<line>\n)""")
+_TRIPLE = re.compile(r'''"""((?:[^"\\]++|\\.|"(?!""))*+)"""|\'{3}((?:[^'\\]++|\\.|'(?!''))*+)\'{3}''', re.S)
 _QUOTED = re.compile(r'"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|\'([^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+)\'|`([^`]*+)`')
+_PREFIX = re.compile(r"""[rRbBuUfF]{1,2}(?=["'])""")
+#: Brackets and calls that stand before a literal.
+_WRAP = re.compile(r"""(?:(?:new[ \t]++)?[\w$.]*+\(\s*+)++(?=[rRbBuUfF]{0,2}["'`])""")
+_FIELD = re.compile(r"\$?\{([^{}\n]*+)\}")
+_TYPE = re.compile(r"[ \t]*+[\w.$\[\], |*&<>?]++")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?+>\s*+([^<>]*+)</")
+_BLANK, _BLANKS, _REST_OF_LINE = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\n)*+"), re.compile(r"[ \t\r]*+(?=\n|\Z)")
+_NAMES_PAIR, _VALUES_PAIR = frozenset("name key id property field variable".split()), frozenset("value val content default text".split())
 _IDENT = re.compile(r"[A-Za-z_$][\w$.]*(?![\w(])")
 _BARE = re.compile(r"[^\s\"'`,;#(){}\[\]<>]{6,}+")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.|&)[ \t]*\n?[ \t]*")
+_JOIN = re.compile(r"(?:[ \t]|\\\r?\n)*+(?:\+|\.\.|\.|&)(?:[ \t]|\\\r?\n)*+\n?[ \t]*+")
+#: In brackets lines don't end a value.
+_JOIN_OVER_LINES = re.compile(r"""\s*+(?:(?:\+|\.\.|\.|&)\s*+|(?=[rRbBuUfF]{0,2}["'`]))""")
+_NEXT_LITERAL = re.compile(r"""(?:[ \t]|\\\r?\n)*+(?=[rRbBuUfF]{0,2}["'])""")
 #: Longer values are held as what scoring needs of them, not as text, and need a placeholder for each so many characters to be one.
 _PLAIN = 512
 
@@ -207,41 +229,150 @@ def _target(head: str) -> str | None:
     return name[first.start() :] if first else None
 
 
-def assignments(text: str) -> Iterator[tuple[str, Value]]:
-    """(target name, propagated value) in text order."""
-    known: dict[str, Value] = {}
-    bare = _BareRuns(text)
-    past = 0
-    for op in _OPERATOR.finditer(text):
-        # no name reaches over an earlier operator
-        target, past = _target(text[past : op.start()]), op.end()
-        if not target:
-            continue
-        at, parts = op.end(), []
-        while at < len(text) and text[at] in " \t":
-            at += 1
+class _Reader:
+    """Values at places of one text, with what its names are known to hold."""
+
+    def __init__(self, text: str):
+        self.text, self.known, self.bare = text, {}, _BareRuns(text)
+        self.unclosed: set[str] = set()  # triple quotes that nothing closes
+
+    def literal(self, at: int) -> tuple[list[Value], int] | None:
+        """The literal at a place: its leaf, or the parts of a formatted one."""
+        text = self.text
+        start = at
+        if m := _PREFIX.match(text, at):
+            at = m.end()
+        quote = text[at : at + 3]
+        m = None
+        if quote in ('"""', "'''") and quote not in self.unclosed and not (m := _TRIPLE.match(text, at)):
+            self.unclosed.add(quote)
+        m = m or _QUOTED.match(text, at)
+        if not m:
+            return None
+        a, b = m.span(m.lastindex)
+        if not ("f" in text[start:at].lower() or text[at] == "`") or "{" not in text[a:b]:
+            return [_leaf(text, a, b)], m.end()
+        parts, past = [], a
+        for field in _FIELD.finditer(text, a, b):
+            if field.start() > past:
+                parts.append(_leaf(text, past, field.start()))
+            if field[1] in self.known:
+                parts.append(self.known[field[1]])
+            past = field.end()
+        return parts + ([_leaf(text, past, b)] if b > past else []), m.end()
+
+    def value(self, at: int, bare: bool = True, inside: bool = False) -> tuple[Value | None, int]:
+        """A concatenation at a place, and where it ends."""
+        text, parts = self.text, []
         while True:
-            if m := _QUOTED.match(text, at):
-                parts.append(_leaf(text, *m.span(m.lastindex)))
-            elif (m := _IDENT.match(text, at)) and m[0] in known:
-                parts.append(known[m[0]])
+            wrapped = _WRAP.match(text, at)
+            at = wrapped.end() if wrapped else at
+            inside = inside or bool(wrapped)
+            if found := self.literal(at):
+                parts += found[0]
+                at = found[1]
+            elif (m := _IDENT.match(text, at)) and m[0] in self.known:
+                parts.append(self.known[m[0]])
+                at = m.end()
             else:
-                if not parts and (v := bare.leaf(at)):
+                if not parts and bare and (v := self.bare.leaf(at)):
                     parts.append(v)
                 break
-            at = m.end()
-            if not (j := _JOIN.match(text, at)) or j.end() >= len(text):
+            join = (_JOIN_OVER_LINES if inside else _JOIN).match(text, at) or _NEXT_LITERAL.match(text, at)
+            if not join or join.end() >= len(text):
                 break
-            at = j.end()
-        if parts:
-            known[target] = _concat(parts)
-            yield target, known[target]
+            at = join.end()
+        return (_concat(parts) if parts else None), at
+
+    def values(self, at: int) -> Iterator[Value]:
+        """The value at a place, or those of the list there."""
+        at = _BLANK.match(self.text, at).end()
+        if self.text[at : at + 1] != "[":
+            v, _ = self.value(at)
+            if v:
+                yield v
+            return
+        while self.text[at : at + 1] in ("[", ","):
+            v, end = self.value(_BLANKS.match(self.text, at + 1).end(), bare=False, inside=True)
+            if not v:
+                return
+            yield v
+            at = _BLANKS.match(self.text, end).end()
+
+
+def assignments(text: str) -> Iterator[tuple[str, int, Value]]:
+    """(target name, sensitivity of what encloses it, propagated value) in text order."""
+    reader = _Reader(text)
+    past, line = 0, 0
+    before: tuple[str | None, int, str | None] = (None, 0, None)  # target, end and text of the pair before
+    named: str | None = None  # the value of the last name="..."
+    argument: tuple[str, int] | None = None  # a call's first literal, and where it ends
+    braces: list[int] = []
+    indents: list[tuple[int, int]] = []
+    indent, indent_of = 0, -1
+    for event in _EVENT.finditer(text):
+        kind, start, end = event.lastgroup, event.start(), event.end()
+        if kind == "line":
+            line = end
+            continue
+        if kind == "open":
+            braces.append(max(braces[-1] if braces else 0, sensitivity(before[0]) if before[0] and not text[before[1] : start].strip() else 0))
+            named, before = None, (None, end, None)
+            continue
+        if kind == "close":
+            if braces:
+                braces.pop()
+            named = None
+            continue
+        if kind == "element":
+            named = None
+            if (m := _ELEMENT.match(text, start)) and text.startswith(m[1], m.end()):
+                a, b = m.start(2), m.start(2) + len(m[2].rstrip())
+                if b - a >= 6:
+                    yield m[1], 0, _leaf(text, a, b)
+            continue
+        if kind == "comma":
+            target = argument[0] if argument and not text[argument[1] : start].strip() else None
+            argument = None
+        else:
+            # no name reaches over an earlier operator
+            target = _target(text[past:start])
+            if kind == "op" and event[0] == "=" and before[0] and before[1] == past and _TYPE.fullmatch(text, past, start):
+                target = before[0]
+            past = end
+        if not target:
+            before = (None, end, None)
+            continue
+        if indent_of != line:
+            indent_of, indent = line, _BLANK.match(text, line).end() - line
+            while indents and indents[-1][0] >= indent:
+                indents.pop()
+        outer = max(braces[-1] if braces else 0, indents[-1][1] if indents else 0)
+        if event[0] == ":" and _REST_OF_LINE.match(text, end):
+            indents.append((indent, max(indents[-1][1] if indents else 0, sensitivity(target))))
+            before = (target, end, None)
+            continue
+        first = None
+        for v in reader.values(end) if kind == "op" else filter(None, [reader.value(_BLANKS.match(text, end).end(), bare=False, inside=True)[0]]):
+            if kind == "call":
+                if (found := reader.literal(_BLANKS.match(text, end).end())) and len(found[0]) == 1 and found[0][0].text:
+                    argument = (found[0][0].text, found[1])
+            else:
+                reader.known[target] = v
+            first = first or v.text
+            yield target, outer, v
+        last = target.rpartition(".")[2].lower()
+        if last in _VALUES_PAIR and named and first:
+            yield named, outer, reader.known[target]
+        if last in _NAMES_PAIR:
+            named = first
+        before = (target, end, first)
 
 
 def literal_spans(text: str, least: float = 5.5) -> list[tuple[int, int, str]]:
     out = set()
-    for name, value in assignments(text):
-        weight = sensitivity(name)
+    for name, outer, value in assignments(text):
+        weight = max(sensitivity(name), outer)
         if weight and (r := value.summary.randomness()) and weight + r >= least:
             out.update(value.spans())
     return [(a, b, "literal") for a, b in sorted(out) if b > a]
@@ -253,7 +384,7 @@ def scan_text(raw: bytes | None) -> list[tuple[int, int, str]]:
         return []
     text = raw.decode()
     spans = base_spans(text, raw)
-    if b"=" in raw or b":" in raw:
+    if any(x in raw for x in (b"=", b":", b"(", b"</")):
         base = sorted(spans)
         starts, reach = [a for a, _, _ in base], [-1, *accumulate((b for _, b, _ in base), max)]
         spans += [x for x in literal_spans(text) if reach[bisect_right(starts, x[0])] < x[1]]
