@@ -31,7 +31,19 @@ def test_decontaminate(docs, rows, bench):
 
 
 def test_decontaminate_in_blocks(docs, rows, bench):
-    same(digest1(decontaminate.decontaminate(docs, bench[1], block_chars=1)), brute.op1(rows, bench[0]))
+    same(digest1(decontaminate.decontaminate(docs, bench[1], block_states=300)), brute.op1(rows, bench[0]))
+
+
+def test_blocks_hold_every_window_once(bench):
+    """Items larger than a block are dealt over blocks by window."""
+    texts = {str(i): decontaminate.normalise(t.encode()) for i, t in bench[0] if i is not None and t}
+    for states in (1, 90, 400, 10**6):
+        blocks = list(decontaminate.blocks_of(bench[1].selectExpr("item_id id", "text"), 13, states))
+        found = [(name, w) for block in blocks for name, words in block for w in decontaminate.windows(words, 13)]
+        assert {(n, w) for n, w in found} == {(n, w) for n, words in texts.items() for w in decontaminate.windows(words, 13)}
+        assert states < 10**6 and len(blocks) > 1 or len(blocks) == 1
+        size = lambda b: sum(sum(len(w) + 1 for w in words[i : i + 13]) for _, words in b for i in range(max(1, len(words) - 12)))
+        assert all(size(b) < states + 300 for b in blocks)
 
 
 def test_decontaminate_spans(docs, rows, bench):
@@ -143,6 +155,18 @@ def test_shift_and_many_words():
             assert fits[i, j] == expected, (g, h, p)
 
 
+def test_long_urls(spark):
+    """A URL of many megabytes steps alone and bounds nothing but itself."""
+    long = "http://a.example.org/" + "en/" * 100_000
+    df = spark.createDataFrame([(0, long), (1, "http://x.org/es/"), (2, long.replace("example.org/en/", "example.org/es/", 1)), (3, "http://" + "a." * 50_000 + "com/de/")], "page_id long, url string")
+    found = {r.id: r.rule for r in urls.filter_urls(df).collect()}
+    assert found == {0: "org/", 1: "org/", 2: "example.org/es/", 3: "com/de/"}
+    machine = urls.ShiftAnd([r.glob for r in urls.CONTRACT_RULES + urls.DEFAULT_GLOBS])
+    keys = [(("." + h + p).encode(), 1 + len(h)) for h, p in map(urls.canonical, URLS)]
+    assert (machine.run(keys) == np.concatenate([machine.run([k]) for k in keys])).all()
+    assert sorted(i for g in urls._alike([5, 900_000, 1, 3, 900_001, 2], 2) for i in g) == list(range(6))
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.given_vocabulary()

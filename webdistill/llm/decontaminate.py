@@ -4,9 +4,10 @@ Every item's normalised words give windows (13 words; a shorter item is one wind
 into one automaton; each document is normalised and scanned once, and hits are mapped back to word
 numbers and to code-point offsets of the original text.
 
-The automaton is broadcast, so it is built over blocks of at most ``block_chars`` characters of
-benchmark text; a larger benchmark is scanned block by block, with the hits so far written to the
-shared folder between blocks.  No shuffle: documents are judged row by row.
+The automaton is broadcast, so it is built over blocks of items whose windows have at most ``block_states``
+characters in all, which bounds its states (some 40 bytes each); a larger benchmark is scanned block by
+block, with the hits so far written to the shared folder between blocks, and an item that alone exceeds the
+bound is dealt over blocks by window.  No shuffle: documents are judged row by row.
 
 Defined cases: null or empty text has no words, no hits and is clean.  Repeated rows are judged alike.
 Items with null id or no words are ignored; repeated item ids count once.  Empty tables give no rows,
@@ -59,10 +60,10 @@ def windows(words: list[bytes], size: int) -> Iterable[bytes]:
 
 
 class Matcher:
-    """The automaton over one block of items; built once in each worker that unpickles it."""
+    """The automaton over one block of items, each normalised words; built once in each worker that unpickles it."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
-        self.items, self.size, self._built = items, size, None
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
+        self.items, self.size, self._built = [(name, b" ".join(words)) for name, words in items], size, None
 
     def __getstate__(self):
         return {"items": self.items, "size": self.size, "_built": None}
@@ -73,7 +74,7 @@ class Matcher:
 
             of: dict[bytes, set[str]] = {}
             for name, text in self.items:
-                for w in windows(normalise(text), self.size):
+                for w in windows(text.split(), self.size):
                     of.setdefault(w, set()).add(name)
             built = ahocorasick.Automaton()
             for w, names in of.items():
@@ -154,17 +155,21 @@ def _scan(broadcast, last: bool, ratio: int, carry: list[str]):
     return run
 
 
-def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size; at least one block, maybe empty."""
+def blocks_of(benchmark: DataFrame, window: int, block_states: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items, or parts of items, in blocks whose windows have a bounded size in all; at least one block, maybe empty."""
     block, size, some = [], 0, False
     for row in benchmark.toLocalIterator():
-        if row["id"] is None or not row["text"]:
-            continue
-        block.append((str(row["id"]), row["text"].encode()))
-        size += len(row["text"])
-        if size >= block_chars:
-            yield block
-            block, size, some = [], 0, True
+        words = normalise(row["text"].encode()) if row["id"] is not None and row["text"] else []
+        at, many = 0, max(1, len(words) - window + 1) if words else 0
+        while at < many:
+            first = at
+            while at < many and size < block_states:
+                size += sum(len(w) + 1 for w in words[at : at + window])
+                at += 1
+            block.append((str(row["id"]), words[first : at - 1 + window]))
+            if size >= block_states:
+                yield block
+                block, size, some = [], 0, True
     if block or not some:
         yield block
 
@@ -172,7 +177,7 @@ def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20,
-    block_chars: int = 8_000_000, carry: tuple[str, ...] = (),
+    block_states: int = 8_000_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row a document: id, n_words, n_hit, items, items_sha256, contaminated, spans, carried columns c0, c1, ...
 
@@ -184,7 +189,7 @@ def decontaminate(
     state = narrow(docs, id=id_column, text=text_column, **own)
     more = [f for f in state.schema if f.name in own]
     held = None
-    for block in blocks_of(narrow(benchmark, id=item_column, text=item_text), block_chars):
+    for block in blocks_of(narrow(benchmark, id=item_column, text=item_text), window, block_states):
         if held is not None:
             state = store(state.mapInArrow(_scan(held, False, ratio, list(own)), T.StructType([*STATE, *more])), "decontaminate")
         held = spark.sparkContext.broadcast(Matcher(block, window))

@@ -97,9 +97,27 @@ class ShiftAnd:
             self.begin[s // 64] |= np.uint64(1 << (s % 64))
             self.accept[e // 64] |= np.uint64(1 << (e % 64))
 
+    def _one(self, key: bytes, host: int) -> np.ndarray:
+        """As run() for a single key, with all words of the bit vector as one integer."""
+        whole = lambda x: int.from_bytes(x.astype("<u8").tobytes(), "little")
+        symbol, loop = [whole(x) for x in self.symbol], [whole(x) for x in self.loop]
+        begin, accept = whole(self.begin), whole(self.accept)
+        state = seen = 0
+        for p, b in enumerate(key):
+            moved = (state << 1) & ~begin
+            if host >= p:
+                moved |= begin
+            state = (moved & symbol[b]) | (state & loop[b])
+            if not state and p > host:
+                break  # nothing begins after the host
+            seen |= state & accept
+        return np.array([[seen >> e & 1 == 1 for e in self.ends]])
+
     def run(self, keys: list[tuple[bytes, int]]) -> np.ndarray:
         """keys: canonical bytes and the length of the host part.  A boolean for each key and glob."""
         n = len(keys)
+        if n == 1:
+            return self._one(*keys[0])
         longest = max((len(k) for k, _ in keys), default=0)
         text = np.zeros((longest, n), dtype=np.uint8)
         length, host = np.array([len(k) for k, _ in keys]), np.array([h for _, h in keys])
@@ -122,6 +140,18 @@ class ShiftAnd:
         return (seen[:, ends // 64] >> (ends % 64).astype(np.uint64)) & one == one
 
 
+def _alike(lengths: list[int], most_urls: int = 256, most_chars: int = 1 << 18) -> Iterator[list[int]]:
+    """Numbers of URLs of like length together, so that a few long ones don't stretch the rest; very long ones alone."""
+    group: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if group and (len(group) >= most_urls or (len(group) + 1) * lengths[i] > most_chars):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def _judge(rules: tuple[Rule, ...], default: str, step: int = 2048):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +161,8 @@ def _judge(rules: tuple[Rule, ...], default: str, step: int = 2048):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 parts = [canonical(u) for u in part.column("url").to_pylist()]
-                order = sorted(range(len(parts)), key=lambda i: len(parts[i][0]) + len(parts[i][1]))
                 best: list[int] = [-1] * len(parts)
-                # URLs of like length run together, so a few long ones don't stretch the rest
-                for a in range(0, len(order), 256):
-                    group = order[a : a + 256]
+                for group in _alike([len(h) + len(p) for h, p in parts]):
                     keys = [("." + parts[i][0] + parts[i][1]).encode() for i in group]
                     fits = machine.run([(k, 1 + len(parts[i][0].encode())) for k, i in zip(keys, group, strict=True)])
                     score = np.where(fits, weight, -1)
