@@ -89,12 +89,15 @@ class FingerprintIndex:
         return out
 
     def compact(self, keep: DataFrame | None = None) -> DataFrame:
-        """Merge all runs into one sorted run; with `keep`(fp), only those fingerprints."""
+        """Merge all runs into one sorted run; with `keep`(fp), only those fingerprints.
+
+        Returned as plain rows: what is joined with them is dealt anew, so that skewed keys can be split.
+        """
         rows = self.all() if keep is None else self.all().join(keep.hint("merge"), "fp", "left_semi")
         old, self.runs = self.runs, [self._sorted(rows)]
         for r in old:
             self.space.drop(r)
-        return self.runs[0]
+        return self.all()
 
 
 def repeated_blocks(space: Workspace, docs: DataFrame, unit: str, length: int, gram: int, batches: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +222,7 @@ def dedup_passages(
     windows = by_document(opened, rows, "first", "last", "n").mapInArrow(_open_windows(window), "fp long, chk long, n long, id long, th long, at int")
     windows = space.store(windows, "opened")
     index.append(windows.select("fp", "chk", "n"))
-    twice = index.repeated()
+    twice = index.all().filter("n > 1").select("fp", "chk")
     # blocks that were found again as a whole are covered already
     edges = windows.filter("n = 1").join(twice.hint("merge"), ["fp", "chk"], "left_semi").select("id", "th", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     spans = space.store(spans.unionByName(edges), "spans")

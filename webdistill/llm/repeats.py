@@ -45,7 +45,6 @@ def pair(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x += b
     x *= _TIMES
-    x ^= x >> np.uint64(29)
     return x
 
 
@@ -144,7 +143,7 @@ def blocks(units: np.ndarray, bounds: np.ndarray, length: int, k: int):
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     at = np.arange(len(grams), dtype=np.uint64)
     low = (np.uint64(1) << _POS_BITS) - np.uint64(1)
-    best = _sliding_min((mix(grams) & ~low) | at, wide)
+    best = _sliding_min((grams & ~low) | at, wide)
     pick = (best & low).astype(np.int64)
     text = np.searchsorted(bounds, np.arange(n), side="right") - 1
     inside = np.arange(n) + length <= bounds[text + 1]

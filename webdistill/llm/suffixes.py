@@ -224,8 +224,9 @@ def shares_prefix(text: np.ndarray, sa: np.ndarray, lengths: np.ndarray, length:
     at = np.arange(n)
     known = (before > 0) & (text[at - 1] == text[before - 1])
     known[first] = False
-    starts = np.isin(before, first)
-    known[starts] = False
+    starts = np.zeros(n + 1, dtype=bool)
+    starts[first] = True
+    known[starts[before]] = False
     todo = np.flatnonzero(~known)
     common = np.zeros(n, dtype=np.int64)
     packed = np.zeros(n + 4, dtype="<u2")
