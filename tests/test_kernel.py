@@ -286,3 +286,12 @@ def test_robots_groups():
     groups = parse_robots("User-agent: A\nUser-agent: b\nAllow: /1\n\nnonsense\nUser-agent: *\nDisallow: /2\n")
     assert [(g.agents, g.rules) for g in groups] == [(["a", "b"], [("allow", "/1")]), (["*"], [("disallow", "/2")])]
     assert group_for(groups, "Bot") is not None and group_for(groups[:1], "zzz") is None
+
+
+@pytest.mark.parametrize("html", ["<ol>" + "<li>a" * 8_000 + "</ol>", "<div><p>a b c d e f g h i j k l m n o p q r s t u v w x y z, and on</p>" * 1_500, "<span>" * 8_000 + "</x>" * 8_000, "<i>" * 8_000 + "<li>a" * 8_000])
+def test_time_grows_with_the_page(html):
+    import time
+
+    began = time.perf_counter()
+    K.distill(html)
+    assert time.perf_counter() - began < 10

@@ -202,7 +202,21 @@ def scores(tree: Tree, body: int) -> dict[int, float]:
 
 
 def top_candidate(tree: Tree, found: dict[int, float], most: int) -> int | None:
-    final = [(s * (1 - tree.measure(x).density(x)), x) for x, s in found.items()]
+    passes: list[Measures] = []  # one for all candidates below one element
+
+    def density(x: int) -> float:
+        m = next((m for m in passes if x in m.length), None)
+        if m is None:
+            up = x
+            while up in found:
+                up = tree.parent[up]
+            m = tree.measure(max(up, 0))
+            if x not in m.length:
+                m = tree.measure(x)
+            passes.append(m)
+        return m.density(x)
+
+    final = [(s * (1 - density(x)), x) for x, s in found.items()]
     best = sorted(final, key=lambda f: -f[0])[:most]
     if not best:
         return None

@@ -6,6 +6,7 @@ and hanging nodes under a new element, which may leave a node listed under its o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 from ..functions.text import WS_CHARS, units
@@ -118,12 +119,24 @@ class Measures:
 def build(stream: Iterable[Token]) -> Tree:
     tree = Tree()
     stack: list[int] = []
+    open_names: Counter[str] = Counter()
+
+    def close_to(i: int) -> None:
+        for x in stack[i:]:
+            open_names[tree.tag[x]] -= 1
+        del stack[i:]
+
+    def push(node: int) -> None:
+        stack.append(node)
+        open_names[tree.tag[node]] += 1
 
     def close(name: str) -> None:
+        if not open_names[name]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             open_tag = tree.tag[stack[i]]
             if open_tag == name:
-                del stack[i:]
+                close_to(i)
                 return
             if open_tag in SCOPE_ENDS:
                 return
@@ -135,21 +148,19 @@ def build(stream: Iterable[Token]) -> Tree:
         elif t.kind == "comment":
             tree.add(top, COMMENT, data=t.data)
         elif t.kind == "end":
-            if t.name not in VOID:
+            if t.name not in VOID and open_names[t.name]:
                 # no scope holds an end tag back
-                at = next((i for i in range(len(stack) - 1, -1, -1) if tree.tag[stack[i]] == t.name), None)
-                if at is not None:
-                    del stack[at:]
+                close_to(next(i for i in range(len(stack) - 1, -1, -1) if tree.tag[stack[i]] == t.name))
         elif t.kind == "start":
             if t.name in CLOSES_P and tree.tag[top] == "p":
-                stack.pop()
+                close_to(len(stack) - 1)
             for name in IMPLIED_END.get(t.name, ()):
                 close(name)
             if t.name == "tr" and stack and tree.tag[stack[-1]] == "table":
-                stack.append(tree.add(stack[-1], ELEMENT, "tbody"))
+                push(tree.add(stack[-1], ELEMENT, "tbody"))
             node = tree.add(stack[-1] if stack else 0, ELEMENT, t.name, dict(t.attributes))
             if t.name not in VOID and not t.self_closing:
-                stack.append(node)
+                push(node)
     return tree
 
 

@@ -114,11 +114,12 @@ def _heading(content: str, level: int, o: MarkdownOptions) -> str:
     return _block("#" * level + " " + content)
 
 
-def _item(tree: Tree, node: int, content: str, o: MarkdownOptions) -> str:
+def _item(tree: Tree, node: int, content: str, o: MarkdownOptions, numbers: dict[int, dict[int, int]]) -> str:
     up, mark = tree.parent[node], f"{o.bullet_list_marker} "
     if up >= 0 and tree.tag[up] == "ol":
-        items = [k for k in tree.kids[up] if tree.tag[k] == "li"]
-        mark = f"{items.index(node) + 1 if node in items else 1}. "
+        if up not in numbers:
+            numbers[up] = {k: i for i, k in enumerate((k for k in tree.kids[up] if tree.tag[k] == "li"), 1)}
+        mark = f"{numbers[up].get(node, 1)}. "
     return mark + trim(content).replace("\n", "\n" + " " * len(mark)) + "\n"
 
 
@@ -179,6 +180,7 @@ class Renderer:
     def _fold(self, tree: Tree, root: int) -> str:
         done: dict[int, str] = {}  # finished text of nodes whose parent is still open
         cells: dict[int, str] = {}
+        numbers: dict[int, dict[int, int]] = {}  # places of the items of each ordered list
         stack: list[tuple[int, bool, bool]] = [(root, self._inside_pre(tree, root), False)]
         while stack:
             node, verbatim, ready = stack.pop()
@@ -196,7 +198,7 @@ class Renderer:
                 content = "".join(done.pop(k) for k in tree.kids[node])
                 if tree.tag[node] in ("td", "th"):
                     cells[node] = content
-                done[node] = content if kind == DOCUMENT else self._replace(tree, node, content, cells)
+                done[node] = content if kind == DOCUMENT else self._replace(tree, node, content, cells, numbers)
         return done[root]
 
     @staticmethod
@@ -208,7 +210,7 @@ class Renderer:
             up = tree.parent[up]
         return False
 
-    def _replace(self, tree: Tree, node: int, content: str, cells: dict[int, str]) -> str:
+    def _replace(self, tree: Tree, node: int, content: str, cells: dict[int, str], numbers: dict[int, dict[int, int]]) -> str:
         if self.rules:
             view = NodeView(tree, node)
             for rule in self.rules:
@@ -225,7 +227,7 @@ class Renderer:
             case "ul" | "ol":
                 return _block(trim(content))
             case "li":
-                return _item(tree, node, content, o)
+                return _item(tree, node, content, o, numbers)
             case "pre":
                 return _code_block(tree, node, o)
             case "hr":

@@ -102,10 +102,18 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.html_to_markdown(table(spark, sf_dir, "pages"), fields=("title",)).select("page_id", "title")
 
 
-@query("SELECT page_id, NULL::VARCHAR AS byline, NULL::VARCHAR AS site_name FROM pages")
+@query("""
+SELECT c_custkey AS page_id, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS byline, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS site_name FROM customer
+""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus names neither authors nor sites."""
-    return P.metadata(table(spark, sf_dir, "pages")).select("page_id", "byline", "site_name")
+    """Pages written from customers: the author in a meta element, in an element of class byline, or nowhere."""
+    key = F.col("c_custkey")
+    author = F.when(key % 3 == 0, F.concat(F.lit("<meta name=author content='"), "c_name", F.lit("'>"))).otherwise("")
+    byline = F.when(key % 3 == 1, F.concat(F.lit("<div class='post byline'> "), "c_name", F.lit(" </div>"))).otherwise("")
+    site = F.when(key % 2 == 0, F.concat(F.lit('<meta property="og:site_name" content="'), "c_mktsegment", F.lit('">'))).otherwise("")
+    html = F.concat(F.lit("<html><head>"), author, site, F.lit("</head><body>"), byline, F.lit("<p>Text</p>"))
+    made = table(spark, sf_dir, "customer").select(key.alias("page_id"), html.alias("html"))
+    return P.metadata(made).select("page_id", "byline", "site_name")
 
 
 @query(f"SELECT page_id, {_decode(_H1_RAW)} AS text FROM pages")
@@ -238,10 +246,18 @@ def stripped_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domrel.elements(domrel.strip(nodes)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, 'p' AS tag FROM pages")
+@query("""
+SELECT p_partkey AS page_id, k AS number, CASE WHEN k = 2 OR k <= 1 AND (p_size + k) % 3 = 0 THEN 'div' ELSE 'p' END AS tag
+FROM part, (VALUES (0), (1), (2)) t(k)
+""")
 def div_to_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = domrel.divs_to_paragraphs(P.html_nodes(table(spark, sf_dir, "pages")))
-    return nodes.filter(domrel.names(nodes) == "ad ").select("page_id", "tag")
+    """Divs written from parts: some hold a list, others only inline elements; the third holds the other two."""
+    inner = lambda k: F.concat(F.lit(f"<div id=d{k}>"), F.when((F.col("p_size") + k) % 3 == 0, "<ul><li>a</ul>").otherwise("<span>a</span> <em>b</em>"), F.lit("</div>"))
+    html = F.concat(F.lit("<div id=d2>"), inner(0), inner(1), F.lit("</div>"))
+    nodes = P.html_nodes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    of = F.get(F.filter("attrs", lambda a: a["name"] == "id"), F.lit(0))["value"]
+    found = domrel.divs_to_paragraphs(nodes).withColumn("of", of).filter("of is not null")
+    return found.select("page_id", F.substring("of", 2, 1).cast("int").alias("number"), "tag")
 
 
 @query()
@@ -409,18 +425,24 @@ def inline_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(table(spark, sf_dir, "part"), html, em_delimiter="_").select("p_partkey", "markdown")
 
 
-@query("SELECT o_orderkey, '```sql' || chr(10) || 'select *' || chr(10) || ' from o_' || o_orderkey || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '``a`b``' || chr(10) AS markdown FROM orders")
+@query("SELECT o_orderkey, '```sql' || chr(10) || 'select *' || chr(10) || ' from o_' || o_orderkey || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) AS markdown FROM orders")
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     html = F.concat(F.lit('<pre><code class="x language-sql">select *\n from o_'), key, F.lit("</code></pre><hr>"))
-    code = F.concat(html, F.lit("<figure><xmp></xmp></figure>"))
-    made = _rendered(table(spark, sf_dir, "orders").select("o_orderkey"), code)
-    return made.select("o_orderkey", F.concat("markdown", F.lit("\n``a`b``\n")).alias("markdown"))
+    return _rendered(table(spark, sf_dir, "orders").select("o_orderkey"), html).select("o_orderkey", "markdown")
+
+
+@query("SELECT p_partkey, 'use ' || CASE p_size % 3 WHEN 0 THEN '`' || p_name || '`' WHEN 1 THEN '``' || p_name || '\\`' || p_size || '``' ELSE '``\\`' || p_name || '``' END || ' now' || chr(10) AS markdown FROM part")
+def inline_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code without a backtick, with one inside, and with one at its start; its text is escaped like other text."""
+    code = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit("`"), "p_size")).otherwise(F.concat(F.lit("`"), "p_name"))
+    html = F.concat(F.lit("<p>use <code>"), code, F.lit("</code> now</p>"))
+    return _rendered(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), html).select("p_partkey", "markdown")
 
 
-@query("SELECT user_id, count(*)::BIGINT AS n, sum(CASE WHEN starts_with(md, 'k') THEN 1 ELSE 0 END)::BIGINT AS plain FROM (SELECT user_id, 'k' || event_type AS md FROM events) GROUP BY user_id")
+@query("SELECT user_id, count(*)::BIGINT AS n, min(md) AS first, max(md) AS last FROM (SELECT user_id, 'k' || replace(event_type, '_', '\\_') || ' ' || event_id || chr(10) AS md FROM events) GROUP BY user_id")
 def fragments_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fragment of each event rendered and counted by user."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_type")
-    made = _rendered(events, F.concat(F.lit("<div>k"), "event_type", F.lit("</div>")))
-    return made.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("markdown").startswith("k").cast("int")).alias("plain"))
+    """A fragment of each event rendered; each user's first and last."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    made = _rendered(events, F.concat(F.lit("<div>k"), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit("</div>")))
+    return made.groupBy("user_id").agg(F.count("*").alias("n"), F.min("markdown").alias("first"), F.max("markdown").alias("last"))
