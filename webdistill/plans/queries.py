@@ -88,10 +88,50 @@ _TITLES = f"SELECT page_id, url, html, {_trim(_decode(_TITLE_RAW))} AS t FROM pa
 _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 
 
+
+def _drop_tags(c: str) -> str:
+    return f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+
+
+def _inline(c: str) -> str:
+    """A text with marks for tags (chr(1) to chr(4)) as Markdown: every text node is escaped by itself."""
+    special = f"regexp_replace({c}, '([\\\\*_`\\[\\]#>~])', '\\\\\\1', 'g')"
+    return f"regexp_replace({special}, '(^|[\\x01-\\x04])({_WS}*)([-+]|[0-9]+\\.) ', '\\1\\2\\\\\\3 ', 'g')"
+
+
+def _article_markdown() -> str:
+    """What follows the heading: bold runs are never closed, so every one ends with the article."""
+    out = f"regexp_extract({_ARTICLE}, '(?s)</h1>(.*)', 1)"
+    for tag, mark in (("<p><b>", 1), ("<br>", 2), ("</p>", 3), ("<p>", 4)):
+        out = f"replace({out}, '{tag}', chr({mark}))"
+    out = f"regexp_replace({_inline(_collapse(_decode(out)))}, '[\\x02\\x03\\x04 ]+$', '')"
+    gap = "chr(10) || chr(10)"
+    for marks, text in (("chr(3) || chr(4)", gap), ("chr(2) || chr(4)", f"'  ' || {gap}"), ("chr(3) || chr(1)", f"{gap} || '**'"), ("chr(1)", "'**'")):
+        out = f"replace({out}, {marks}, {text})"
+    return f"{out} || repeat('**', len(string_split({_ARTICLE}, '<b>')) - 1)"
+
+
+def _pages_as_extracted(h1_gone: str, ad_gone: str, selected: str) -> str:
+    """page_id, markdown, text of every page.  The article wins; an advert before it stays if it is a paragraph of 80
+    characters, or if the article is short of 500, unless a rule removes it or selects the article."""
+    ad = _decode("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")
+    return f"""
+      SELECT page_id, html, url, CASE WHEN with_ad THEN {_trim(_inline(_collapse("ad")))} || chr(10) || chr(10) ELSE '' END
+        || CASE WHEN h1_gone THEN '' ELSE '# ' || {_escape(_collapse("h1"))} || chr(10) || chr(10) END || rest || chr(10) AS markdown,
+        CASE WHEN with_ad THEN ad ELSE '' END || article AS text
+      FROM (SELECT *, NOT selected AND NOT ad_gone AND {_trim("ad")} <> '' AND (length(ad) >= 80 OR length({_trim("article")}) < 500) AS with_ad
+        FROM (SELECT *, CASE WHEN h1_gone THEN '' ELSE h1 END || {_decode(_drop_tags(f"regexp_extract({_ARTICLE}, '(?s)</h1>(.*)', 1)"))} AS article
+          FROM (SELECT page_id, html, url, {ad} AS ad, {_decode(_H1_RAW)} AS h1, {_article_markdown()} AS rest, {h1_gone} AS h1_gone, {ad_gone} AS ad_gone, {selected} AS selected FROM pages)))
+    """
+
+
 # ── extraction ──
 
 
-@query()
+@query(f"""
+SELECT page_id, {_cut_title('t')} AS title, NULL::VARCHAR AS byline, NULL::VARCHAR AS site_name, {_trim(_collapse(f"left({_trim('text')}, 200)"))} AS excerpt, markdown
+FROM (SELECT *, {_trim(_decode(_TITLE_RAW))} AS t FROM ({_pages_as_extracted("false", "false", "false")}))
+""")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over all pages."""
     return P.html_to_markdown(table(spark, sf_dir, "pages")).drop("error")
@@ -131,7 +171,9 @@ def page_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.html_to_markdown(table(spark, sf_dir, "pages"), Options(select="article"), fields=("excerpt",)).select("page_id", "excerpt")
 
 
-@query()
+@query(f"""
+SELECT page_id, markdown FROM ({_pages_as_extracted("contains(url, 'blog.')", "contains(url, 'example.org')", "contains(url, '/fr/')")})
+""")
 def page_markdown_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules by URL decide what is removed and selected."""
     rules = (SiteRule("example.org", remove=(".ad",)), SiteRule("/fr/", select="article"), SiteRule("blog.", remove=("h1",), include=(".ad",)))
@@ -260,7 +302,17 @@ def div_to_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.substring("of", 2, 1).cast("int").alias("number"), "tag")
 
 
-@query()
+def _score(c: str) -> str:
+    return f"CASE WHEN length({c}) >= 25 THEN 1 + length({c}) - length(replace(replace({c}, ',', ''), '、', '')) + least(length({c}) // 100, 3) END"
+
+
+@query(f"""
+SELECT page_id, CASE WHEN coalesce(article > body, article IS NOT NULL) THEN 'article' ELSE 'body' END AS tag, round(coalesce(greatest(article, body), article, body), 6)::DOUBLE AS final_score
+FROM (SELECT page_id, 5 + p AS article, coalesce(p / 2, 0) + coalesce(a, 0) AS body, coalesce(p, a) AS any_score
+  FROM (SELECT page_id, {_score('p')} AS p, {_score('a')} AS a
+    FROM (SELECT page_id, {_decode(_drop_tags(f"regexp_extract({_ARTICLE}, '(?s)</h1>(.*)', 1)"))} AS p, {_decode("regexp_extract(html, '(?s)<div class=" + '"ad"' + ">(.*?)</div>', 1)")} AS a FROM pages)))
+WHERE any_score IS NOT NULL
+""")
 def top_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring and ranking as joins and windows over nodes."""
     nodes = domrel.divs_to_paragraphs(domrel.strip(P.html_nodes(table(spark, sf_dir, "pages"))))
