@@ -4,6 +4,7 @@ import json
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,25 @@ def test_pushdown(spark, sf):
     """A filter on the id reaches the scan below the kernel, and only two columns are read."""
     plan = P.html_to_markdown(spark.read.parquet(f"{sf}/pages.parquet").filter("page_id < 10"))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(page_id), LessThan(page_id,10)]" in plan and "ReadSchema: struct<page_id:bigint,html:string>" in plan and plan.count("MapInArrow") >= 1
+
+
+def test_dealt_nodes_are_parsed_once_and_not_moved_again(spark, sf):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    nodes = domrel.dealt(P.html_nodes(spark.read.parquet(f"{sf}/pages.parquet")))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    plan = domrel.by_tag(nodes, "p").groupBy("page_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" not in plan
+    top = domrel.top_candidates(domrel.strip(nodes))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in top
+
+
+def test_a_failing_page_is_a_row():
+    def fails(html):
+        if html == "bad":
+            raise ValueError("no")
+        return [(1, html)]
+
+    schema = pa.schema([("page_id", pa.int64()), ("ord", pa.int32()), ("html", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(["a", "bad", None])], names=["page_id", "html"])
+    out = [tuple(r.values()) for b in P._expand(fails, schema, lambda e: (0, e))([batch]) for r in b.to_pylist()]
+    assert out == [(1, 1, "a"), (2, 0, "ValueError: no"), (None, 1, "")]

@@ -3,13 +3,17 @@
 d lies below a iff both are of one page and a.node_id < d.node_id <= a.end_id.  Every join has page_id as
 its equality, so it is a hash or merge join with the interval as the residual condition; nothing is a
 cross join.  Removing elements is an anti-join against the intervals of what is removed.
+
+html_nodes parses when it is read, so operators that read the nodes more than once should be given
+dealt(nodes): parsed once, dealt by page, so that no join on page_id moves them again.
 """
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import native as N
@@ -18,6 +22,34 @@ from ..kernel import distill as K
 from ..kernel.select import Compound, compile_selector
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; our own in local mode where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="webdistill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def dealt(nodes: DataFrame) -> DataFrame:
+    """The nodes dealt and sorted by page_id, kept in the shared folder.  Runs a job: pages are parsed here and never again.
+
+    A reliable checkpoint keeps its partitioning and order, so interval joins, windows and sums by page_id
+    read it without an exchange.  One page's nodes are bounded by its HTML, so no part is hot."""
+    spark = nodes.sparkSession
+    spark.sparkContext.setCheckpointDir(_shared_folder(spark))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    # an adaptive plan doesn't tell how its result is dealt
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return nodes.repartition(parts, "page_id").sortWithinPartitions("page_id", "node_id").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "element")
 
@@ -159,10 +191,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
     A parent gets the whole score, the grandparent half, the next a sixth, and so on.
     """
-    scored = paragraph_scores(nodes).join(nodes.select("page_id", "node_id"), ["page_id", "node_id"])
-    up = ancestors(scored, nodes).join(
-        scored.select("page_id", F.col("node_id").alias("target_id"), "score"), ["page_id", "target_id"]
-    )
+    scored = paragraph_scores(nodes).select(F.col("page_id").alias("t_page"), F.col("node_id").alias("target_id"), "score")
+    on = (F.col("page_id") == F.col("t_page")) & (F.col("target_id") > F.col("node_id")) & (F.col("target_id") <= F.col("end_id"))
+    up = elements(nodes).join(scored, on)
     w = Window.partitionBy("page_id", "target_id").orderBy(F.col("depth").desc())
     up = up.withColumn("level", F.row_number().over(w) - 1).filter(F.col("level") < len(K.DIVISORS))
     divisor = F.element_at(F.array(*[F.lit(float(d)) for d in K.DIVISORS]), F.col("level") + 1)
@@ -174,8 +205,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def top_candidates(nodes: DataFrame, k: int = 1) -> DataFrame:
-    """The k best candidates of each page by score without links; ties go to the first seen."""
-    found = candidates(nodes)
+    """The k best candidates of each page by score without links; ties go to the first seen.  Candidates are kept in the
+    shared folder, as their density needs them several times."""
+    found = dealt(candidates(nodes))
     at = found.join(nodes.select("page_id", "node_id", "end_id", "tag"), ["page_id", "node_id"])
     dense = link_density(at, nodes).select("page_id", "node_id", "density")
     final = at.join(dense, ["page_id", "node_id"]).withColumn("final_score", F.col("content_score") * (1 - F.col("density")))

@@ -4,7 +4,8 @@ All are row-local: one Arrow-batched Python stage, no shuffle, so the plan is th
 pages and for a hundred terabytes.  mapInArrow keeps the stage opaque: a filter on a result column can't
 make Catalyst run the kernel twice.  Only the columns the kernel needs are read.
 
-A page that fails never fails the job: its `error` says why.  Null html is an empty page.
+A page that fails never fails the job: html_to_markdown's `error` says why, html_nodes and html_tokens give one
+row of kind error, selections one row with ord 0 and no match, render_html null.  Null html is an empty page.
 """
 
 from __future__ import annotations
@@ -42,14 +43,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _expand(per_page: Callable[[str], list[tuple]], schema: pa.Schema, most: int = 50_000):
-    """Rows of every page; flushed whenever `most` are gathered, so that no batch grows with the page count."""
+def _expand(per_page: Callable[[str], list[tuple]], schema: pa.Schema, failed: Callable[[str], tuple], most: int = 50_000):
+    """Rows of every page, or the one that says why there are none; flushed whenever `most` are gathered, so that no
+    batch grows with the page count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                rows += [(page, *r) for r in per_page(html or "")]
+                try:
+                    rows += [(page, *r) for r in per_page(html or "")]
+                except Exception as e:  # one page's trouble is a row, not the job's end
+                    rows.append((page, *failed(f"{type(e).__name__}: {e}")))
                 if len(rows) >= most:
                     yield _batch(rows, schema)
                     rows = []
@@ -122,7 +127,7 @@ def html_nodes(pages: DataFrame, *, id_column: str = "page_id", html_column: str
     def rows(html: str) -> list[tuple]:
         return [(*r[:7], [{"name": k, "value": v} for k, v in r[7]], r[8]) for r in node_rows(parse(html))]
 
-    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema), NODES)
+    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema, lambda e: (0, None, 0, 0, 0, "error", None, [], e)), NODES)
 
 
 def html_tokens(pages: DataFrame, *, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
@@ -133,7 +138,7 @@ def html_tokens(pages: DataFrame, *, id_column: str = "page_id", html_column: st
         found = [(i, t.kind, t.name or None, [{"name": k, "value": v} for k, v in t.attributes], t.self_closing, t.data if t.kind in ("text", "comment") else None) for i, t in enumerate(tokens(html))]
         return [*found, (len(found), "eof", None, [], False, None)]
 
-    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema), TOKENS)
+    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema, lambda e: (0, "error", None, [], False, e)), TOKENS)
 
 
 def select_html(pages: DataFrame, selector: str, *, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
@@ -145,7 +150,7 @@ def select_html(pages: DataFrame, selector: str, *, id_column: str = "page_id",
         tree = parse(html)
         return [(i, to_html(tree, x)) for i, x in enumerate(select_all(tree, 0, selector), 1)]
 
-    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema), "page_id long, ord int, html string")
+    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema, lambda e: (0, None)), "page_id long, ord int, html string")
 
 
 def select_markdown(
@@ -160,7 +165,14 @@ def select_markdown(
         tree, renderer = parse(html), Renderer(markdown, rules)
         return [(i, renderer.render(tree, x)) for i, x in enumerate(select_all(tree, 0, selector), 1)]
 
-    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema), "page_id long, ord int, markdown string")
+    return _pages(pages, id_column, html_column).mapInArrow(_expand(rows, schema, lambda e: (0, None)), "page_id long, ord int, markdown string")
+
+
+def _rendered(renderer: Renderer, html: str | None) -> str | None:
+    try:
+        return None if html is None else renderer.render(parse(html), 0)
+    except Exception:  # as for a null
+        return None
 
 
 def render_html(rows: DataFrame, html_column: str, *, markdown: MarkdownOptions | None = None, rules: tuple[Rule, ...] = (), name: str = "markdown") -> DataFrame:
@@ -170,7 +182,7 @@ def render_html(rows: DataFrame, html_column: str, *, markdown: MarkdownOptions
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         renderer = Renderer(markdown, rules)
         for batch in batches:
-            made = [renderer.render(parse(h), 0) if h is not None else None for h in batch.column(html_column).to_pylist()]
+            made = [_rendered(renderer, h) for h in batch.column(html_column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(run, ", ".join(kinds))

@@ -67,11 +67,13 @@ def decide(pages: DataFrame, robots: DataFrame, *, agent: str = AGENT, id_column
     p = pages.select(pages[id_column].alias("page_id"), pages[url_column].alias("url"))
     p = p.withColumn("origin", N.url_origin("url")).withColumn("path", N.url_path("url"))
     r = rules_for(robots_rules(robots), agent)
-    r = r.select(F.col("origin").alias("r_origin"), "type", N.robots_regex("path").alias("pattern"), N.robots_specificity("path").alias("weight"))
+    # a path without a wildcard is a prefix: no pattern is compiled for it
+    pattern = F.when(F.col("path").rlike(r"[*$]"), N.robots_regex("path")).alias("pattern")
+    r = r.select(F.col("origin").alias("r_origin"), "type", F.col("path").alias("prefix"), pattern, N.robots_specificity("path").alias("weight"))
     # one row of rules for each origin: the pages are neither multiplied nor gathered
-    r = r.groupBy("r_origin").agg(F.collect_list(F.struct("weight", (F.col("type") == "allow").alias("allow"), "pattern")).alias("rules"))
+    r = r.groupBy("r_origin").agg(F.collect_list(F.struct("weight", (F.col("type") == "allow").alias("allow"), "prefix", "pattern")).alias("rules"))
     joined = p.join(r, p["origin"] == r["r_origin"], "left")
-    fitting = F.filter("rules", lambda x: F.regexp_like(F.col("path"), x["pattern"]))
+    fitting = F.filter("rules", lambda x: F.when(x["pattern"].isNull(), F.col("path").startswith(x["prefix"])).otherwise(F.regexp_like(F.col("path"), x["pattern"])))
     best = F.array_max(F.transform(fitting, lambda x: F.struct(x["weight"].alias("weight"), x["allow"].alias("allow"))))
     return joined.select("page_id", "url", F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 

@@ -6,6 +6,7 @@ functions and then parsed, so that parser, renderer and oracle share nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,7 +159,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {_decode(_H1_RAW)} AS text FROM pages")
 def text_of_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = P.html_nodes(table(spark, sf_dir, "pages"))
+    nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "pages")))
     return domrel.text_content(domrel.first_by_tag(nodes, "h1"), nodes).select("page_id", "text")
 
 
@@ -180,6 +181,15 @@ def page_markdown_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.html_to_markdown(table(spark, sf_dir, "pages"), Options(site_rules=rules), fields=("markdown",), url_column="url").select("page_id", "markdown")
 
 
+@query(f"""
+SELECT page_id, markdown FROM ({_pages_as_extracted("regexp_matches(url, '/(de|en)/')", "regexp_matches(url, '^https://m[.]')", "false")})
+""")
+def page_markdown_regex_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site rules whose URL is a regular expression."""
+    rules = (SiteRule(re.compile(r"^https://m\."), remove=(".ad",)), SiteRule(re.compile("/(de|en)/"), remove=("h1",)))
+    return P.html_to_markdown(table(spark, sf_dir, "pages"), Options(site_rules=rules), fields=("markdown",), url_column="url").select("page_id", "markdown")
+
+
 # ── selection ──
 
 
@@ -224,6 +234,17 @@ def tool_select_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.select_response(pages, P.select_html(pages, "nav a"), "nav a")
 
 
+@query(f"""
+SELECT p.page_id, CASE WHEN n IS NULL THEN 'No elements matched selector: nav a' ELSE 'Found ' || n || ' element(s) matching "nav a":' || chr(10) || chr(10) || listed END AS text
+FROM pages p LEFT JOIN (
+  SELECT page_id, count(*) AS n, string_agg('[' || ord || ']' || chr(10) || markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS listed FROM ({ORACLES["nav_links_md"]}) GROUP BY page_id
+) l ON l.page_id = p.page_id
+""")
+def tool_select_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return P.select_response(pages, P.select_markdown(pages, "nav a"), "nav a", "markdown")
+
+
 @query(f"SELECT page_id, CASE WHEN title = '' THEN 'x' ELSE '# ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'x' END AS text FROM (SELECT page_id, {_cut_title('t')} AS title FROM ({_TITLES}))")
 def tool_convert_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response's head over a fixed body."""
@@ -263,7 +284,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT page_id, {_decode("regexp_extract(html, '(?s)<div class=" + '"ad"' + ">(.*?)</div>', 1)")} AS text FROM pages")
 def text_of_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = P.html_nodes(table(spark, sf_dir, "pages"))
+    nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "pages")))
     return domrel.text_content(domrel.select(nodes, "body .ad"), nodes).select("page_id", "text")
 
 
@@ -272,7 +293,7 @@ SELECT page_id, sum(length(t))::BIGINT AS text_length, sum(length(t))::BIGINT AS
 FROM (SELECT page_id, {_decode("regexp_extract(link, '>([^<]*)<', 1)")} AS t FROM ({_LINKS})) GROUP BY page_id
 """)
 def link_density_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = P.html_nodes(table(spark, sf_dir, "pages"))
+    nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "pages")))
     return domrel.link_density(domrel.by_tag(nodes, "nav"), nodes).drop("node_id")
 
 
@@ -284,7 +305,7 @@ SELECT page_id, count(*)::BIGINT AS n FROM (
 """)
 def stripped_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left when stripped elements go, by an anti-join on intervals."""
-    nodes = P.html_nodes(table(spark, sf_dir, "pages"))
+    nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "pages")))
     return domrel.elements(domrel.strip(nodes)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
@@ -302,6 +323,31 @@ def div_to_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.substring("of", 2, 1).cast("int").alias("number"), "tag")
 
 
+@query("""
+SELECT c_custkey AS page_id, tag, parent_tag, depth, (CASE WHEN tag = 'li' THEN 1 + c_custkey % 4 ELSE n END)::BIGINT AS n
+FROM customer, (VALUES ('ul', '', 1, 1), ('li', 'ul', 2, 0), ('p', 'li', 3, 2), ('table', '', 1, 1), ('tbody', 'table', 2, 1), ('tr', 'tbody', 3, 2), ('td', 'tr', 4, 3), ('b', '', 1, 1))
+  t(tag, parent_tag, depth, n)
+""")
+def nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and tables written from customers without end tags or tbody, with a stray end tag: who lies in whom."""
+    items = F.repeat(F.concat(F.lit("<li>"), "c_name"), (1 + F.col("c_custkey") % 4).cast("int"))
+    html = F.concat(F.lit("<!DOCTYPE html><ul>"), items, F.lit("<p>x<p>y</ul><table><tr><td>"), "c_mktsegment", F.lit("<td>b<tr><td>c</table></i><b>z</p></b>"))
+    nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))))
+    above = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.coalesce("tag", F.lit("")).alias("parent_tag"))
+    found = domrel.elements(nodes).join(above, ["page_id", "parent_id"])
+    return found.groupBy("page_id", "tag", "parent_tag", "depth").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS page_id, (CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 4 END)::BIGINT AS n FROM customer")
+def unlikely_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements left of pages written from customers: a sidebar goes with its inside, one that is also named article stays."""
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, "sidebar").when(key % 3 == 1, "sidebar article").otherwise("plain")
+    html = F.concat(F.lit("<body><div class='"), name, F.lit("'><p>"), "c_name", F.lit("</p></div><p>k</p></body>"))
+    nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "customer").select(key.alias("page_id"), html.alias("html"))))
+    return domrel.elements(domrel.drop_unlikely(nodes)).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
 def _score(c: str) -> str:
     return f"CASE WHEN length({c}) >= 25 THEN 1 + length({c}) - length(replace(replace({c}, ',', ''), '、', '')) + least(length({c}) // 100, 3) END"
 
@@ -315,7 +361,7 @@ WHERE any_score IS NOT NULL
 """)
 def top_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring and ranking as joins and windows over nodes."""
-    nodes = domrel.divs_to_paragraphs(domrel.strip(P.html_nodes(table(spark, sf_dir, "pages"))))
+    nodes = domrel.dealt(domrel.divs_to_paragraphs(domrel.strip(domrel.dealt(P.html_nodes(table(spark, sf_dir, "pages"))))))
     return domrel.top_candidates(nodes).select("page_id", "tag", F.round("final_score", 6).alias("final_score"))
 
 
@@ -400,11 +446,28 @@ FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))
 """)
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
+    return R.decide(pages, _held(spark, pages))
+
+
+def _held(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Each site's hosts share its robots.txt."""
     bodies = spark.createDataFrame(_ROBOTS, "site string, body string")
-    # each site's hosts share its robots.txt
     origins = pages.select(N.url_origin("url").alias("origin")).distinct()
-    held = origins.join(F.broadcast(bodies), F.col("origin").endswith(F.concat(F.lit("."), F.col("site")))).select("origin", "body")
-    return R.decide(pages, held)
+    return origins.join(F.broadcast(bodies), F.col("origin").endswith(F.concat(F.lit("."), F.col("site")))).select("origin", "body")
+
+
+@query(f"SELECT page_id, url FROM ({ORACLES['robots_allowed']}) WHERE allowed")
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only pages that may be read."""
+    pages = table(spark, sf_dir, "pages")
+    return R.gate(pages, _held(spark, pages)).select("page_id", "url")
+
+
+@query(f"SELECT page_id, NOT allowed AS robots_blocked FROM ({ORACLES['robots_allowed']})")
+def robots_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with what robots.txt says beside them."""
+    pages = table(spark, sf_dir, "pages")
+    return R.gate(pages, _held(spark, pages), force=True).select("page_id", "robots_blocked")
 
 
 @query(_values([("a", 1, "disallow", "/x"), ("a", 1, "allow", "/x/y"), ("a", 2, "disallow", "/"), ("b", 1, "disallow", "/z")]).replace("(VALUES", "SELECT * FROM (VALUES") + " t(origin, group_no, type, path)")
@@ -492,6 +555,22 @@ def inline_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), html).select("p_partkey", "markdown")
 
 
+@query("""
+SELECT p_partkey, '```' || chr(10) || p_type || chr(10) || '  ' || p_brand || chr(10) || '```' || chr(10) || chr(10) || replace(p_brand, '#', '\\#') || '  ' || chr(10) || p_size || chr(10) || chr(10)
+  || '![' || p_size || '](/' || p_partkey || '.png)' || chr(10) || '*' || p_name || '*' || chr(10) || chr(10) || 'az ' || p_type || chr(10) || chr(10) || p_name || ' ' || p_size || chr(10) AS markdown
+FROM part
+""")
+def blocks_and_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain pre, br, figure with caption, comment, CDATA and elements without a rule, written from parts."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    html = F.concat(
+        F.lit("<pre>"), "p_type", F.lit("\n  "), "p_brand", F.lit("</pre><p>"), "p_brand", F.lit("<br>"), size, F.lit("</p><figure><img src=/"), key, F.lit(".png alt="), size,
+        F.lit("><figcaption>"), "p_name", F.lit("</figcaption></figure><p>a<!-- "), "p_name", F.lit(" -->z <![CDATA["), "p_type", F.lit("]]></p><section><del>"), "p_name",
+        F.lit("</del> <sup>"), size, F.lit("</sup></section>"),
+    )
+    return _rendered(table(spark, sf_dir, "part"), html).select("p_partkey", "markdown")
+
+
 @query("SELECT user_id, count(*)::BIGINT AS n, min(md) AS first, max(md) AS last FROM (SELECT user_id, 'k' || replace(event_type, '_', '\\_') || ' ' || event_id || chr(10) AS md FROM events) GROUP BY user_id")
 def fragments_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fragment of each event rendered; each user's first and last."""
