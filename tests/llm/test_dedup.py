@@ -126,11 +126,23 @@ def test_lines(docs, rows):
 
 
 def test_lines_many_shards(docs, rows):
-    """One line a shard, one shard a group: marks go through the shared folder."""
+    """Arrays beyond the bound of a broadcast: lines go to the shards, and their numbers come back."""
     found = linedup.dedup_lines(docs, least_chars=3, least_docs=2, shard_lines=40, group_bytes=1)
     same(digest7(found), brute.op7(rows, 3, 2))
 
 
+def test_lines_hot_shards(spark, docs, rows):
+    """Shards in many parts; rows that share an id, or have none, keep their own lines; nothing frequent at all."""
+    found = linedup.dedup_lines(docs, least_chars=3, least_docs=2, shard_lines=7, group_bytes=0, part_lines=2)
+    same(digest7(found), brute.op7(rows, 3, 2))
+    odd = [(None, "aaaa\nbbbb"), (None, "aaaa\ncccc"), (7, "aaaa\ndddd"), (7, "bbbb\ndddd"), (7, "bbbb\ndddd"), (3, None), (3, ""), (9, "dddd\n\ndddd")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    routed = linedup.dedup_lines(docs, least_chars=3, least_docs=2, shard_lines=1, group_bytes=0, part_lines=1)
+    assert "finger" in routed._jdf.queryExecution().analyzed().toString()
+    same(digest7(routed), digest7(linedup.dedup_lines(docs, least_chars=3, least_docs=2)))
+    same(digest7(linedup.dedup_lines(docs.limit(0), group_bytes=0)), [])
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
     built = linedup.PerfectHash.build(keys)

@@ -7,8 +7,12 @@ combination, so a line that a third of all documents hold is one row for each ta
 perfect hash with three arrays beside it: fingerprint, count and the largest doc_id.  Documents then
 probe the arrays; lines are never joined.
 
-Shards are broadcast in groups of at most ``group_bytes``; if there are more, documents go through one
-group after another, with the marks so far written to the shared folder between groups.
+Shards of at most ``group_bytes`` together are broadcast and probed where the text is read.  Beyond that the
+hashes of long lines go to the shards instead, once for the whole corpus: a shard's arrays come first in its
+part, its lines stream past them, and only the numbers of lines to drop return to the documents.  A shard whose
+frequent lines are held more than ``part_lines`` times is dealt over as many parts more by document, each with
+its own copy of the arrays, so that a line which a third of all documents hold is no task of its own.  A task
+holds one shard's arrays and one batch.
 
 Defined cases: null or empty text is one empty line.  Every row counts as a document of its own; rows
 that share the largest doc_id all keep their lines.  A null doc_id is smaller than any other.  Empty
@@ -25,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, as_bytes, narrow, store, tidy
+from .common import BLANKS, as_bytes, narrow, store, text_key, tidy
 from .repeats import mix
 
 _NO_ID = -(1 << 63)
+#: Fingerprint, count and keeper of a frequent line, and its share of the perfect hash.
+_LINE_BYTES = 32
 _BLANK_BYTES = BLANKS.encode()
 
 
@@ -141,7 +147,7 @@ _SHARD = "shard long, levels array<binary>, sizes array<long>, ranks array<long>
 
 
 class Shards:
-    """A group of shards as probed by documents."""
+    """Shards as probed by documents or by their lines."""
 
     def __init__(self, n_shards: int, rows: list):
         self.n_shards, self.rows, self._built = n_shards, rows, None
@@ -177,44 +183,121 @@ class Shards:
         return found, keep
 
 
-def _probe(held, least: int, last: bool, carry: list[str]):
+def _hashes(texts: list[bytes | None], least: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Both halves of each long line's hash, its row and its number in the text."""
+    h, f, row, at = [], [], [], []
+    for i, text in enumerate(texts):
+        _, numbers, keys = long_keys(text, least)
+        for k in keys:
+            x = xxhash.xxh3_128_intdigest(k)
+            h.append(x >> 64)
+            f.append(x & 0xFFFFFFFFFFFFFFFF)
+        row += [i] * len(keys)
+        at += numbers
+    return np.array(h, dtype=np.uint64).view(np.int64), np.array(f, dtype=np.uint64).view(np.int64), row, at
+
+
+def _without(batch: pa.RecordBatch, texts: list[bytes | None], gone: list[set[int]], carry: list[str]) -> pa.RecordBatch:
+    total, out = [], []
+    for text, g in zip(texts, gone, strict=True):
+        lines = (text or b"").split(b"\n")
+        total.append(len(lines))
+        out.append((b"\n".join(x for i, x in enumerate(lines) if i not in g) if g else text or b"").decode())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id"), *(batch.column(c) for c in carry), pa.array(total, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(out, pa.string())],
+        names=["id", *carry, "n_lines", "n_dropped", "kept"],
+    )
+
+
+def _probe(held, least: int, carry: list[str]):
+    """Documents probe the arrays that were broadcast."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: Shards = held.value
         for batch in batches:
-            rest = [batch.column(c) for c in carry]
             ids, texts = batch.column("id").to_pylist(), as_bytes(batch.column("text"))
-            before = batch.column("gone").to_pylist()
-            gone: list[set[int]] = [set(x or ()) for x in before]
-            h, f, row, at = [], [], [], []
-            for i, text in enumerate(texts):
-                _, numbers, keys = long_keys(text, least)
-                for k in keys:
-                    x = xxhash.xxh3_128_intdigest(k)
-                    h.append(x >> 64)
-                    f.append(x & 0xFFFFFFFFFFFFFFFF)
-                row += [i] * len(keys)
-                at += numbers
-            found, keep = shards.keeper(np.array(h, dtype=np.uint64).view(np.int64), np.array(f, dtype=np.uint64).view(np.int64))
+            gone: list[set[int]] = [set() for _ in texts]
+            h, f, row, at = _hashes(texts, least)
+            found, keep = shards.keeper(h, f)
             for j in np.flatnonzero(found).tolist():
                 if keep[j] != (_NO_ID if ids[row[j]] is None else ids[row[j]]):
                     gone[row[j]].add(at[j])
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *rest, batch.column("text"), pa.array([sorted(g) for g in gone], pa.list_(pa.int32()))], names=["id", *carry, "text", "gone"])
-                continue
-            total, out = [], []
-            for text, g in zip(texts, gone, strict=True):
-                lines = (text or b"").split(b"\n")
-                total.append(len(lines))
-                out.append((b"\n".join(x for i, x in enumerate(lines) if i not in g) if g else text or b"").decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *rest, pa.array(total, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(out, pa.string())],
-                names=["id", *carry, "n_lines", "n_dropped", "kept"],
-            )
+            yield _without(batch, texts, gone, carry)
+
+    return run
+
+
+def _requests(least: int, salts: np.ndarray):
+    """A row for each long line: its shard, the part of it that answers, document, number and hash."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = batch.column("th").to_numpy().astype(np.int64)
+            h, f, row, at = _hashes(as_bytes(batch.column("text")), least)
+            row = np.array(row, dtype=np.int64)
+            shard = (h.view(np.uint64) % np.uint64(len(salts))).astype(np.int64)
+            salt = (mix(keys[row].view(np.uint64) + mix(ids[row].view(np.uint64))) % salts[shard]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (shard, salt, ids[row], keys[row], at, h, f)], names=["shard", "salt", "doc", "th", "line", "h", "f"])
+
+    return run
+
+
+_REQUEST = "shard long, salt long, doc long, th long, line long, h long, f long"
+_ANSWER = "doc long, th long, line long"
+
+
+def _answers(n_shards: int):
+    """Lines to drop; a shard's arrays come before its lines."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(n_shards, [])
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "doc", "th", "line", "h", "f")}
+            arrays = np.flatnonzero(np.asarray(batch.column("finger").is_valid()))
+            # from one row of arrays to the next
+            for a, b in zip([-1, *arrays.tolist()], [*arrays.tolist(), batch.num_rows], strict=True):
+                if a >= 0:
+                    shards = Shards(n_shards, batch.slice(a, 1).to_pylist())
+                part = {c: v[a + 1 : b].astype(np.int64) for c, v in columns.items()}
+                found, keep = shards.keeper(part["h"], part["f"])
+                drop = found & (keep != part["doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[c][drop], pa.int64()) for c in ("doc", "th", "line")], names=["doc", "th", "line"])
 
     return run
 
 
+def _apply(carry: list[str]):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [set(x or ()) for x in batch.column("gone").to_pylist()]
+            yield _without(batch, as_bytes(batch.column("text")), gone, carry)
+
+    return run
+
+
+def _routed(state: DataFrame, shards: DataFrame, parts: DataFrame, n_shards: int, least: int) -> DataFrame:
+    """state with `gone`, the numbers of its lines to drop.  Equal rows get equal answers, so that (id, text) is key enough.
+
+    parts: shard, salts.  The driver holds a number for each shard."""
+    salts = np.ones(n_shards, dtype=np.uint64)
+    for r in parts.toLocalIterator():
+        salts[r["shard"]] = r["salts"]
+    keyed = state.withColumn("th", text_key()).withColumn("doc", F.coalesce("id", F.lit(_NO_ID)))
+    lines = keyed.select("id", "text", "th").mapInArrow(_requests(least, salts), _REQUEST)
+    copies = shards.join(parts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    met = copies.withColumn("first", F.lit(0)).unionByName(lines.withColumn("first", F.lit(1)), allowMissingColumns=True)
+    # arrays of k lines come with 5 k lines or more of documents, so a batch holds few of them
+    met = met.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "first")
+    met = met.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("doc", "th", "line", "h", "f")})
+    gone = met.mapInArrow(_answers(n_shards), _ANSWER).groupBy("doc", "th").agg(F.collect_set("line").alias("gone"))
+    return keyed.join(gone, ["doc", "th"], "left").drop("doc", "th")
+
+
 def frequent_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """h, f, n, doc: the hashes of all lines held by enough documents, with the largest doc_id."""
     keys = docs.mapInArrow(_list_keys(least_chars), "h long, f long, doc long")
@@ -223,7 +306,7 @@ def frequent_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFr
 
 def dedup_lines(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 40,
-    least_docs: int = 5, shard_lines: int = 1 << 18, group_bytes: int = 64 << 20, carry: tuple[str, ...] = (),
+    least_docs: int = 5, shard_lines: int = 1 << 18, group_bytes: int = 64 << 20, part_lines: int = 1 << 22, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row a document: id, carried columns c0, c1, ..., n_lines, n_dropped, kept (the text without the dropped lines)."""
     spark = docs.sparkSession
@@ -231,19 +314,14 @@ def dedup_lines(
     state = narrow(docs, id=id_column, **own, text=text_column)
     kinds = {f.name: f.dataType.simpleString() for f in state.schema}
     lines = store(frequent_lines(state.select("id", "text"), least_chars, least_docs), "lines")
-    n_shards = max(1, -(-lines.count() // shard_lines))
+    n = lines.count()
+    n_shards = max(1, -(-n // shard_lines))
     unsigned = F.pmod(F.conv(F.hex("h"), 16, 10).cast("decimal(20,0)"), F.lit(n_shards)).cast("long")
-    shards = lines.withColumn("shard", unsigned).groupBy("shard").applyInArrow(_shard, _SHARD)
-    if n_shards > 1:
-        shards = store(shards, "shards")
-    state = state.withColumn("gone", F.lit(None).cast("array<int>"))
-    group, size, held = [], 0, None
-    for r in shards.toLocalIterator():
-        if size >= group_bytes:
-            held = spark.sparkContext.broadcast(Shards(n_shards, group))
-            state = store(state.mapInArrow(_probe(held, least_chars, False, list(own)), state.schema), "marked")
-            group, size = [], 0
-        group.append(r.asDict())
-        size += len(r["finger"]) * 4
-    held = spark.sparkContext.broadcast(Shards(n_shards, group))
-    return state.mapInArrow(_probe(held, least_chars, True, list(own)), ", ".join(["id long", *(f"{c} {kinds[c]}" for c in own), "n_lines long, n_dropped long, kept string"]))
+    lines = lines.withColumn("shard", unsigned)
+    shards = lines.groupBy("shard").applyInArrow(_shard, _SHARD)
+    out = ", ".join(["id long", *(f"{c} {kinds[c]}" for c in own), "n_lines long, n_dropped long, kept string"])
+    if n * _LINE_BYTES > group_bytes:
+        parts = lines.groupBy("shard").agg((1 + F.floor(F.sum("n") / part_lines)).cast("long").alias("salts"))
+        return _routed(state, store(shards, "shards"), parts, n_shards, least_chars).mapInArrow(_apply(list(own)), out)
+    held = spark.sparkContext.broadcast(Shards(n_shards, [r.asDict() for r in shards.toLocalIterator()]))
+    return state.mapInArrow(_probe(held, least_chars, list(own)), out)
