@@ -241,6 +241,13 @@ def test_dealt_nodes_are_parsed_once_and_not_moved_again(spark, sf):
     assert "MapInArrow" not in top
 
 
+@pytest.mark.parametrize("name", ["nesting"])
+def test_nodes_are_not_broadcast(spark, sf, name):
+    """All nodes at the driver break it at size, however small Spark takes them for."""
+    found = Q.QUERIES[name](spark, sf)
+    assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_failing_page_is_a_row():
     def fails(html):
         if html == "bad":

@@ -334,7 +334,8 @@ def nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<!DOCTYPE html><ul>"), items, F.lit("<p>x<p>y</ul><table><tr><td>"), "c_mktsegment", F.lit("<td>b<tr><td>c</table></i><b>z</p></b>"))
     nodes = domrel.dealt(P.html_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))))
     above = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.coalesce("tag", F.lit("")).alias("parent_tag"))
-    found = domrel.elements(nodes).join(above, ["page_id", "parent_id"])
+    # Spark takes the nodes for as small as the table they are written from, and would broadcast all of them
+    found = domrel.elements(nodes).join(above.hint("merge"), ["page_id", "parent_id"])
     return found.groupBy("page_id", "tag", "parent_tag", "depth").agg(F.count("*").alias("n"))
 
 
