@@ -241,7 +241,7 @@ def test_dealt_nodes_are_parsed_once_and_not_moved_again(spark, sf):
     assert "MapInArrow" not in top
 
 
-@pytest.mark.parametrize("name", ["nesting"])
+@pytest.mark.parametrize("name", ["nesting", "div_to_paragraph"])
 def test_nodes_are_not_broadcast(spark, sf, name):
     """All nodes at the driver break it at size, however small Spark takes them for."""
     found = Q.QUERIES[name](spark, sf)

@@ -153,9 +153,10 @@ def drop_unlikely(nodes: DataFrame, shield: DataFrame | None = None) -> DataFram
 
 
 def divs_to_paragraphs(nodes: DataFrame) -> DataFrame:
-    """A div without a block child is called p."""
+    """A div without a block child is called p.  Parents grow with the pages and are merged: Spark takes them for a share of the
+    files' size, and would broadcast them."""
     block = by_tag(nodes, *sorted(K.KEEPS_DIV)).select("page_id", F.col("parent_id").alias("node_id")).distinct().withColumn("holds", F.lit(True))
-    out = nodes.join(block, ["page_id", "node_id"], "left")
+    out = nodes.join(block.hint("merge"), ["page_id", "node_id"], "left")
     return out.withColumn("tag", F.when((F.col("tag") == "div") & F.col("holds").isNull(), F.lit("p")).otherwise(F.col("tag"))).drop("holds").select(*nodes.columns)
 
 
